@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality import op9_quality
+from .secrets import op1_secrets
 from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": op1_secrets,
         "op7_token_counts": op7_token_counts,
         "op9_quality": op9_quality,
     }
