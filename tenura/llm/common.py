@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="tenura-code-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(to))
+        _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

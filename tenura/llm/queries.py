@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .token_counts import op7_token_counts
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op7_token_counts": op7_token_counts,
         "op9_quality": op9_quality,
+        "op10_toxicity": op10_toxicity,
     }
 
 
