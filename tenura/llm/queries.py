@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .impact_search import OP8_SQL, op8_exact_top_k
+from .lsh_search import op4_nearest
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .token_counts import op7_token_counts
@@ -16,10 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op7_token_counts": op7_token_counts,
+        "op4_nearest": op4_nearest,
+        "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": OP8_SQL}
