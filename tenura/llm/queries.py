@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .impact_search import OP8_SQL, op8_exact_top_k
 from .lsh_search import op4_nearest
+from .near_dup import op2_near_dup
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .token_counts import op7_token_counts
@@ -17,6 +18,7 @@ from .toxicity import op10_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_near_dup": op2_near_dup,
         "op7_token_counts": op7_token_counts,
         "op4_nearest": op4_nearest,
         "op8_exact_top_k": op8_exact_top_k,
