@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .impact_search import OP8_SQL, op8_exact_top_k
 from .lsh_search import op4_nearest
+from .mixing import op5_mixing, op5_sql
 from .near_dup import op2_near_dup
 from .quality import op9_quality
 from .secrets import op1_secrets
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_near_dup": op2_near_dup,
+        "op5_mixing": op5_mixing,
         "op7_token_counts": op7_token_counts,
         "op4_nearest": op4_nearest,
         "op8_exact_top_k": op8_exact_top_k,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op5_mixing": op5_sql(), "op8_exact_top_k": OP8_SQL}
