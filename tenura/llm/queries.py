@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .impact_search import OP8_SQL, op8_exact_top_k
+from .lm_scoring import op6_lm_scoring
 from .lsh_search import op4_nearest
 from .mixing import op5_mixing, op5_sql
 from .near_dup import op2_near_dup
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_near_dup": op2_near_dup,
         "op5_mixing": op5_mixing,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_token_counts": op7_token_counts,
         "op4_nearest": op4_nearest,
         "op8_exact_top_k": op8_exact_top_k,
