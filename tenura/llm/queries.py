@@ -13,6 +13,7 @@ from .mixing import op5_mixing, op5_sql
 from .near_dup import op2_near_dup
 from .quality import op9_quality
 from .secrets import op1_secrets
+from .sentence_pieces import op3_sentence_pieces
 from .token_counts import op7_token_counts
 from .toxicity import op10_toxicity
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_near_dup": op2_near_dup,
+        "op3_sentence_pieces": op3_sentence_pieces,
         "op5_mixing": op5_mixing,
         "op6_lm_scoring": op6_lm_scoring,
         "op7_token_counts": op7_token_counts,
