@@ -7,9 +7,10 @@ signature lanes, counted with bit operations and corrected for chance collisions
 the threshold or above are confirmed on the full sets, which are made again from the texts.
 
 Candidates are searched in three steps, so that large groups of near copies never meet pair by pair: two star steps
-(over a few bands, then over all) compare each member of a bucket with one member of another component, and a last step
-compares, within each bucket that still holds several components, all its members of different components, in blocks.
-Pairs of one component need no comparison, as they change no component.
+(over a few bands, then over all) compare each member of a bucket with one member of another component. A last step finds,
+within each bucket that still holds several components and in blocks, which documents may be linked to which other
+component, and compares each of those documents with all members of that component, again in blocks, which give only
+links. Pairs of one component need no comparison, as they change no component.
 """
 
 from __future__ import annotations
@@ -147,22 +148,29 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, run, SIGNED)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def with_texts(rows: DataFrame, columns: list[str], docs: DataFrame) -> DataFrame:
+    """`rows` with a column <c>_text for each of the columns of ids."""
     spark = docs.sparkSession
     # the ids wanted are far fewer than the documents: let Spark filter the texts by them before they are shuffled
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    texts = written(docs.join(wanted, "doc_id"), "texts").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a")
+    wanted = rows.select(F.explode(F.array(*columns)).alias("doc_id")).distinct()
+    texts = written(docs.join(written(wanted, "wanted"), "doc_id"), "texts").dropDuplicates(["doc_id"])
+    for c in columns:
+        rows = rows.join(texts.withColumnsRenamed({"doc_id": c, "text": f"{c}_text"}), c)
+    return rows
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = with_texts(pairs, ["b", "a"], docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         last, mine = None, np.zeros(0, np.uint64)
         for r in batches:
             keep = []
-            for a, x, y in zip(r.column("a").to_pylist(), r.column("x").to_pylist(), r.column("y").to_pylist(), strict=True):
+            for a, x, y in zip(r.column("a").to_pylist(), r.column("a_text").to_pylist(), r.column("b_text").to_pylist(), strict=True):
                 if a != last:
                     last, mine = a, shingles(x)
                 other = shingles(y)
@@ -170,11 +178,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(mine) + len(other) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
+    return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a long, b long")
 
 
 def cell_pairs(most: int):  # noqa: ANN201
-    """A mapInArrow function over rows sorted by cell: pairs of different components with at most `most` differing lanes."""
+    """A mapInArrow function over rows sorted by cell: (x, other), a document and the component of a smaller label that holds one with at most `most` lanes differing from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -195,11 +203,12 @@ def cell_pairs(most: int):  # noqa: ANN201
                 ok = (comp[at] != comp[to]) & (((i == j)[at]) | (side[at] != side[to]))
                 a, b = at[ok], to[ok]
                 near = fold(sig[a] ^ sig[b]) <= most
-                out_a.append(rep[a[near]])
-                out_b.append(rep[b[near]])
+                out_a.append(a[near])
+                out_b.append(b[near])
                 step += 1
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            found = np.unique(np.stack([np.where(comp[a] > comp[b], rep[a], rep[b]), np.minimum(comp[a], comp[b])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["x", "other"])
 
         for r in batches:
             if not r.num_rows:
@@ -219,6 +228,46 @@ def cell_pairs(most: int):  # noqa: ANN201
     return run
 
 
+def linked_to(asked: DataFrame, member: DataFrame, signature: DataFrame, docs: DataFrame, size: int, percent: int, block: int = CELL) -> DataFrame:
+    """Links (a, b) between documents x and members of the component `other`, of rows `asked` (x, other); `member` has (rep, comp)."""
+    most = most_differing(percent)
+    per = asked.groupBy(F.col("other").alias("comp")).agg(F.count("*").alias("n"))
+    sizes = member.join(per, "comp").groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("ni"), F.ceil(F.first("n") / block).cast("int").alias("nj"))
+    sizes = written(sizes, "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
+    outside = asked.select(F.col("x").alias("rep"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
+    columns = ["comp", "i", "j", "side", "rep"]
+    cells = written(inside.select(*columns).union(outside.select(*columns)), "asked")
+    full = with_texts(cells, ["rep"], docs).join(signature, "rep").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
+        cell, reps, sets, sigs, packed = None, [], [], [], None
+        for r in batches:
+            out_a, out_b = [], []
+            rows = zip(*(r.column(c).to_pylist() for c in ("comp", "i", "j", "side", "rep", "rep_text")), r.column("signature").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64), strict=True)
+            for c, i, j, side, rep, text, sig in rows:
+                if (c, i, j) != cell:
+                    cell, reps, sets, sigs, packed = (c, i, j), [], [], [], None
+                mine = shingles(text)
+                if side == 0:
+                    reps.append(rep)
+                    sets.append(mine)
+                    sigs.append(sig)
+                elif reps:
+                    packed = np.stack(sigs) if packed is None else packed
+                    for k in np.flatnonzero(fold(packed ^ sig) <= most).tolist():
+                        common = len(np.intersect1d(mine, sets[k], assume_unique=True))
+                        if 100 * common >= percent * (len(mine) + len(sets[k]) - common) and common:
+                            out_a.append(min(rep, reps[k]))
+                            out_b.append(max(rep, reps[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return map_arrow(full.select(*columns, "rep_text", "signature"), run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -270,7 +319,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     cells = cells.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "comp", "chunk")
     cells = cells.join(reps.select("rep", "signature").dropDuplicates(["rep"]), "rep").select("key", "i", "j", "rep", "comp", "chunk", "signature")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    learn(map_arrow(cells, cell_pairs(most), "a long, b long").distinct())
+    asked = written(map_arrow(cells, cell_pairs(most), "x long, other long").distinct(), "asked")
+    if not asked.isEmpty():
+        member = reps.select("rep").distinct()
+        member = member.withColumn("comp", F.col("rep")) if comp is None else member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        found = written(linked_to(asked, member, reps.select("rep", "signature").dropDuplicates(["rep"]), rows, size, percent), "links")
+        comp = components(found if edges is None else edges.union(found))
 
     named = classes if comp is None else classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
     out = whole.select("doc_id", *key).join(named.select(*key, F.col("rep").alias("component_id")), key, "left")
