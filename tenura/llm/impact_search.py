@@ -21,20 +21,24 @@ from pyspark.sql import functions as F
 from .common import table, tune
 from .vectors import in_blocks, matrix, vector_rows, widen
 
-LEVELS = 24
+LEVELS = 16
 
 
 class ImpactIndex:
-    """Of one block: `rows` (n x d, integers as int64), `ids`."""
+    """Of one block: `rows` (n x d, integers as int64), `ids`; `largest` bounds the components of queries."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, largest: int = 1 << 20, levels: int = LEVELS):
         self.ids, self.rows = ids, rows
         n, d = rows.shape
         self.low, self.high = rows.min(0), rows.max(0)
-        self.order = np.argsort(rows, axis=0, kind="stable")
+        # sums of products below 2^53 are exact in doubles, which multiply faster
+        top = max(int(self.high.max(initial=0)), -int(self.low.min(initial=0)))
+        self.exact = rows.astype(np.float64) if d * top * largest < 1 << 53 else rows
+        order = np.argsort(rows, axis=0, kind="stable")
         step = np.maximum((self.high - self.low + levels) // levels, 1)
-        sorted_rows = np.take_along_axis(rows, self.order, 0)
+        sorted_rows = np.take_along_axis(rows, order, 0)
         level = (sorted_rows - self.low) // step
+        self.order = np.ascontiguousarray(order.T).astype(np.int32)
         #: Of each dimension the segments (begin, end, least value, largest value), ascending.
         self.segments = []
         for j in range(d):
@@ -49,46 +53,47 @@ class ImpactIndex:
         possible = np.flatnonzero(allowed)
         if n > 4 * few and len(possible) > k:
             possible = self.possible(query, allowed, k, few)
-        score = self.rows[possible] @ query
+        score = (self.exact[possible] @ query.astype(self.exact.dtype)).astype(np.int64)
         best = np.lexsort((self.ids[possible], -score))[:k]
         return self.ids[possible[best]], score[best]
 
     def possible(self, query: np.ndarray, allowed: np.ndarray, k: int, few: int) -> np.ndarray:
-        n = len(self.ids)
-        plan = []
-        bound = 0
+        dims, begin, end, gives, upto, falls = [], [], [], [], [], []
+        bound = slack = 0
         for j in np.flatnonzero(query):
             a, b, least, most = self.segments[j]
             w = int(query[j])
             if w > 0:  # largest components first; what a segment gives at least and at most
-                gives, upto = (least - self.low[j])[::-1] * w, (most - self.low[j])[::-1] * w
+                g, u = (least - self.low[j])[::-1] * w, (most - self.low[j])[::-1] * w
                 a, b = a[::-1], b[::-1]
             else:
-                gives, upto = (self.high[j] - most) * -w, (self.high[j] - least) * -w
-            nxt = np.r_[upto[1:], 0]
-            plan += zip(upto.tolist(), [j] * len(a), a.tolist(), b.tolist(), gives.tolist(), (upto - gives).tolist(), (upto - nxt).tolist(), strict=True)
-            bound += int(upto[0])
-        plan.sort(key=lambda s: -s[0])
-        acc = np.zeros(n, np.int64)  # what a row has at least
-        slack = 0  # what quantisation may hide from a row: one segment of each dimension
-        most = np.zeros(len(query), np.int64)
-        check = max(len(plan) // 16, 1)
+                g, u = (self.high[j] - most) * -w, (self.high[j] - least) * -w
+            dims.append(np.full(len(a), j))
+            begin.append(a), end.append(b), gives.append(g), upto.append(u)
+            falls.append(u - np.r_[u[1:], 0])
+            bound += int(u[0])
+            slack += int((u - g).max())  # what quantisation may hide from a row: one segment of each dimension
+        if not dims:
+            return np.flatnonzero(allowed)
+        rank = np.argsort(-np.concatenate(upto), kind="stable")
+        plan = [np.concatenate(x)[rank].tolist() for x in (dims, begin, end, gives, falls)]
+        acc = np.zeros(len(self.ids), np.int64)  # what a row has at least
+        check = max(len(rank) // 8, 1)
         left = np.flatnonzero(allowed)
-        for i, (_, j, a, b, gives, hidden, falls) in enumerate(plan):
-            acc[self.order[a:b, j]] += gives
-            bound -= falls
-            if hidden > most[j]:
-                slack += hidden - int(most[j])
-                most[j] = hidden
-            if i % check == check - 1 and i > len(plan) // 4:
-                kth = np.partition(acc[left], len(left) - k)[len(left) - k]
-                left = left[acc[left] + (bound + slack) >= kth]
+        for i, (j, a, b, g, fall) in enumerate(zip(*plan, strict=True), 1):
+            if g:
+                acc[self.order[j, a:b]] += g
+            bound -= fall
+            if i % check == 0 and 2 * i > len(rank):
+                had = acc[left]
+                kth = np.partition(had, len(left) - k)[len(left) - k]
+                left = left[had + (bound + slack) >= kth]
                 if len(left) <= few:
                     break
         return left
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 16384, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest integer inner products, for each query.
 
     Components x become floor(scale * x); they must stay within +-2^28. Vectors that are null, empty or hold null or
@@ -105,9 +110,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         if a.num_rows and b.num_rows:
             x, y = np.floor(scale * matrix(a.column("vector"))).astype(np.int64), np.floor(scale * matrix(b.column("vector"))).astype(np.int64)
             width = max(x.shape[1], y.shape[1])
+            x, y = widen(x, width), widen(y, width)
             ids = a.column("id").to_numpy()
-            index = ImpactIndex(ids, widen(x, width))
-            for q, v in zip(b.column("id").to_pylist(), widen(y, width), strict=True):
+            index = ImpactIndex(ids, x, int(np.abs(y).max()))
+            for q, v in zip(b.column("id").to_pylist(), y, strict=True):
                 found, score = index.top(v, q, k, few=max(8 * k, len(ids) // 50))
                 out["query_id"] += [q] * len(found)
                 out["vec_id"] += found.tolist()
