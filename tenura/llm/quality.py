@@ -120,6 +120,17 @@ def score_quality(docs: DataFrame, model: Gam, threshold: float = 0.3) -> DataFr
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_quality(docs: DataFrame, model: Gam, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text scores at least `threshold` (null: as an empty text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([text_features(t) for t in texts_of(b)], np.float64).reshape(b.num_rows, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> Gam:
     """The model of the registered query: rows with crc32(doc_id as text) mod 5 = 0 are held out."""
     return fit_quality(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
