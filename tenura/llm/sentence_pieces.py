@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is cut into words: before white space marks, and around characters that no longer piece holds, so that no piece
-can cross a cut. Of the words that a partition has not met, all substrings up to the longest piece are
-exploded, equi-joined to the piece table and grouped by word: each word's lattice is an array of edges by (start,
-length). Spark's higher-order aggregate folds each lattice to a segmentation, within the same stage, and documents take
-the segmentations of their words; nothing is shuffled.
-
-The fold replays merges: in each step the best-scored edge that spans two neighbouring segments joins them, the leftmost
-of equals. That is what a piece table of kind BPE stands for; a Viterbi fold (the path with the largest sum of scores)
-gives other pieces than the library does for it, and the tables at hand are of kind BPE.
-Words of more than LONG characters, which few steps cannot fold, are merged in numpy with the same rule.
+can cross a cut. Of the words that a worker has not met lately, all substrings up to the longest piece are exploded,
+equi-joined to the piece table and grouped by word: a lattice of edges by (start, length), held as one array. Then all
+words are folded together, each by its best edge in each round, and documents take the segmentations of their words.
+Nothing is shuffled.
+
+The fold replays merges: the best-scored edge that spans two neighbouring segments joins them, the leftmost of equals,
+until none is left. That is what a piece table of kind BPE stands for; a Viterbi fold (the path with the largest sum of
+scores) gives other pieces than the library does for such a table, and the tables at hand are of that kind. The same fold
+as a higher-order aggregate of Spark gave the same ids, but took over twice the CPU budget (see the README).
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, table
 
 MARK = "▁"
-LONG = 40
-#: Words whose segmentations a task remembers before it starts anew.
-HELD = 200_000
-#: Edges hold 64 times the rank, so that a place within the word can be added.
-NO_EDGE = 1 << 30
+#: Words of more characters are merged one by one with a heap.
+LONG = 64
+#: Words whose segmentations a worker remembers before it starts anew.
+HELD = 400_000
+NONE = np.int32(1 << 30)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +48,7 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if model.is_byte(i)}
         self.unknown = model.unk_id()
+        self.known: dict[str, list[int]] = {}
         self.raw = [p.encode() for p in self.names]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
@@ -65,43 +67,124 @@ class Pieces:
         self.word = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|(?s:.)")
         by_length: dict[int, list[tuple[int, int]]] = {}
         for p in self.ids:
-            if len(p) > 1:
-                by_length.setdefault(len(p), []).append((int(hashes([p], len(p))[0]), self.rank[p]))
+            if p:
+                by_length.setdefault(len(p), []).append((int(hashes([p], len(p))[0]), self.ids[p]))
+        self.rank_of = np.full(n + 1, NONE, np.int32)  # by id; the last is for no piece
+        for p, i in self.ids.items():
+            self.rank_of[i] = self.rank[p]
         self.tables = {}
         for length, rows in by_length.items():
             rows.sort()
-            self.tables[length] = (np.array([h for h, _ in rows], np.uint64), np.array([r for _, r in rows], np.int32))
+            self.tables[length] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int32))
 
     def words(self, text: str) -> list[str]:
         if not text:
             return []
         return self.word.findall(MARK + text.replace(" ", MARK))
 
-    def lattice(self, words: list[str]) -> list[tuple[int, np.ndarray]]:
-        """Of each word (width, edges): edges[start * width + length - 1] is 64 times the rank of the piece there, or NO_EDGE."""
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes of words, edges): edges[i, length - 1] is the id of the piece that starts at character i of all words' characters, -1 for none."""
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size).repeat(size)
-        at = np.arange(len(code))
-        edges = np.full((len(code), self.longest), NO_EDGE, np.int32)
+        edges = np.full((len(code), self.longest), -1, np.int32)
+        live = np.arange(len(code))
         h = code * PRIME
-        reach = np.ones(len(code), np.int64)
-        live = at
-        for length in range(2, self.longest + 1):
-            live = live[live + length <= end[live]]
+        for length in range(1, self.longest + 1):
+            if length > 1:
+                live = live[live + length <= end[live]]
+                h[live] = (h[live] + code[live + length - 1]) * PRIME
             if not len(live):
                 break
-            h[live] = (h[live] + code[live + length - 1]) * PRIME
-            if length not in self.tables:
-                continue
-            keys, ranks = self.tables[length]
-            k = np.minimum(np.searchsorted(keys, h[live]), len(keys) - 1)
-            hit = keys[k] == h[live]
-            edges[live[hit], length - 1] = ranks[k[hit]] * 64
-            reach[live[hit]] = length
-        begin = np.cumsum(size) - size
-        width = np.maximum.reduceat(reach, begin) if len(begin) else begin
-        return [(int(w), edges[b : b + n, :w].ravel()) for b, n, w in zip(begin.tolist(), size.tolist(), width.tolist(), strict=True)]
+            if length in self.tables:
+                keys, ids = self.tables[length]
+                seen = h[live]
+                k = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
+                hit = keys[k] == seen
+                edges[live[hit], length - 1] = ids[k[hit]]
+        return size, edges
+
+    def fold(self, size: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, id) of the segments that merging leaves, in order; id -1 where a character is no piece."""
+        start = np.arange(len(edges))
+        end = start + 1
+        word = np.repeat(np.arange(len(size)), size)
+        alive = np.ones(len(edges), bool)  # of characters: whether a segment starts there
+        stop = end.copy()  # by start of a segment
+        at, to, own = start, end, word
+        rank = np.full(len(at), NONE, np.int32)
+
+        def ranks(i: np.ndarray) -> np.ndarray:
+            """Of the segments at places i with their followers, all of the same word."""
+            length = to[i + 1] - at[i]
+            ok = length <= self.longest
+            out = np.full(len(i), NONE, np.int32)
+            out[ok] = self.rank_of[edges[at[i[ok]], length[ok] - 1]]
+            return out
+
+        pairs = np.flatnonzero(own[1:] == own[:-1])
+        rank[pairs] = ranks(pairs)
+        while len(at):
+            begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            low = np.minimum.reduceat(rank, begin)
+            span = np.diff(np.r_[begin, len(at)])
+            go = low < NONE
+            if not go.all():  # words without a merge are done
+                keep = np.repeat(go, span)
+                at, to, own, rank = at[keep], to[keep], own[keep], rank[keep]
+                low, span = low[go], span[go]
+                if not len(at):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(low, span))
+            hits = hits[np.r_[True, own[hits[1:]] != own[hits[:-1]]]]  # the leftmost of each word
+            alive[at[hits + 1]] = False
+            to[hits] = to[hits + 1]
+            stop[at[hits]] = to[hits]
+            keep = np.ones(len(at), bool)
+            keep[hits + 1] = False
+            place = np.cumsum(keep) - 1
+            at, to, own, rank = at[keep], to[keep], own[keep], rank[keep]
+            todo = place[hits]
+            before = todo[todo > 0] - 1
+            todo = np.unique(np.r_[todo, before])
+            rank[todo] = NONE
+            todo = todo[todo + 1 < len(at)]
+            todo = todo[own[todo] == own[todo + 1]]
+            rank[todo] = ranks(todo)
+        left = np.flatnonzero(alive)
+        return word[left], left, edges[left, stop[left] - left - 1]
+
+    def segment(self, words: list[str]) -> list[list[int]]:
+        """Ids of the pieces of each word."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        size, edges = self.lattice([words[i] for i in short])
+        if len(short):
+            word, start, ids = self.fold(size, edges)
+            begin = np.searchsorted(word, np.arange(len(short) + 1))
+            whole = np.minimum.reduceat(ids, begin[:-1]) >= 0
+            flat, cut = ids.tolist(), begin.tolist()
+            first = (np.cumsum(size) - size).tolist()
+            for k, (i, ok) in enumerate(zip(short, whole.tolist(), strict=True)):
+                if ok:
+                    out[i] = flat[cut[k] : cut[k + 1]]
+                else:
+                    bounds = [int(x) - first[k] for x in start[cut[k] : cut[k + 1]]] + [len(words[i])]
+                    out[i] = self.piece_ids(words[i], bounds)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.piece_ids(w, self.merge_long(w))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.words(x) for x in texts]
+        if len(self.known) > HELD:
+            self.known.clear()
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
+        if new:
+            self.known.update(zip(new, self.segment(new), strict=True))
+        get = self.known.__getitem__
+        return [np.array(list(chain.from_iterable(map(get, s))), np.int32) for s in split]
 
     def merge_long(self, word: str) -> list[int]:
         """Boundaries of a long word's segments, by a heap of candidate merges."""
@@ -161,33 +244,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def fold(word: Column) -> Column:
-    """Segment boundaries of a word <size, width, edges>: a higher-order aggregate, one merge a step.
-
-    No segment is longer than the word's longest edge, so that there are at most size - size / width merges.
-    """
-    size, width, edges = word["size"], word["width"], word["edges"]
-    none, row = F.lit(NO_EDGE), width - 1
-
-    def step(bounds: Column, _: Column) -> Column:
-        def join(start: Column, i: Column) -> Column:
-            end = F.get(bounds, i + 2)
-            return F.when(end - start <= width, F.get(edges, start * row + end - 1) + i)
-
-        def merge(best: Column) -> Column:
-            return F.when(best < none, F.filter(bounds, lambda _, i: i != best % 64 + 1)).otherwise(bounds)
-
-        # a lambda over one element, so that the best merge is found once
-        return F.get(F.transform(F.array(F.array_min(F.transform(bounds, join))), merge), 0)
-
-    most = F.when(width > 1, size - F.ceil(size / width).cast("int")).otherwise(0)
-    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.sequence(F.lit(0), size), step)
-
-
-LATTICE = "words array<struct<word string, size int, width int, edges array<int>>>, docs array<struct<doc_id long, chars int, words array<int>>>, anew boolean"
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, n_bytes long) for every row: ids of the pieces, and how many of them are byte pieces.
 
@@ -197,61 +253,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     empty table gives an empty result.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
-        place: dict[str, int] = {}
-        for b in batches:
-            texts, ids = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
-            for i, j in chunks(texts, 1_000_000):
-                anew = len(place) > HELD
-                if anew:
-                    place.clear()
-                split = [p.words(x) for x in texts[i:j]]
-                new: list[str] = []
-                for s in split:
-                    for w in s:
-                        if w not in place:
-                            place[w] = len(place)
-                            new.append(w)
-                brief = [w if len(w) <= LONG else "" for w in new]
-                lattice = iter(p.lattice([w for w in brief if w]))
-                words = []
-                for w, k in zip(new, brief, strict=True):
-                    width, edges = next(lattice) if k else (1, np.zeros(0, np.int32))
-                    words.append((w, len(k), width, edges))
-                columns = [pa.array([w for w, *_ in words], pa.string()), *(pa.array([w[c] for w in words], pa.int32()) for c in (1, 2)), ragged([w[3] for w in words])]
-                words_col = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays(columns, ["word", "size", "width", "edges"]))
-                get = place.__getitem__
-                rows = [np.fromiter(map(get, s), np.int32, len(s)) for s in split]
-                docs_col = pa.StructArray.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(x) for x in texts[i:j]], pa.int32()), ragged(rows)], ["doc_id", "chars", "words"])
-                yield pa.RecordBatch.from_arrays([words_col, pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), docs_col), pa.array([anew])], ["words", "docs", "anew"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        known: list[list[int]] = []
         byte_ids = np.array(sorted(p.bytes.values()))
         for b in batches:
-            for k in range(b.num_rows):
-                if b.column("anew")[k].as_py():
-                    known = []
-                words, bounds = b.column("words")[k].as_py(), b.column("bounds")[k].as_py()
-                known += [p.piece_ids(w, c if len(w) <= LONG else p.merge_long(w)) for w, c in zip(words, bounds, strict=True)]
-                row = b.column("docs").slice(k, 1).flatten()
-                doc_ids, places = row.field("doc_id"), row.field("words")
-                offsets, flat = places.offsets.to_numpy(), places.values.to_numpy()
-                out = []
-                for m in range(len(row)):
-                    mine: list[int] = []
-                    for w in flat[offsets[m] : offsets[m + 1]].tolist():
-                        mine += known[w]
-                    out.append(np.array(mine, np.int32))
-                n_bytes = [int(np.isin(x, byte_ids).sum()) for x in out]
-                yield pa.RecordBatch.from_arrays([doc_ids, ragged(out), pa.array(n_bytes, pa.int64())], ["doc_id", "ids", "n_bytes"])
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            for i, j in chunks(texts):
+                ids = p.encode(texts[i:j])
+                n_bytes = [int(np.isin(x, byte_ids).sum()) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), ragged(ids), pa.array(n_bytes, pa.int64())], ["doc_id", "ids", "n_bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spread_out = map_arrow(rows, spread, LATTICE)
-    folded = spread_out.select(F.transform("words", lambda w: w["word"]).alias("words"), F.transform("words", fold).alias("bounds"), "docs", "anew")
-    return map_arrow(folded, gather, "doc_id long, ids array<int>, n_bytes long")
+    return map_arrow(rows, run, "doc_id long, ids array<int>, n_bytes long")
 
 
 def ragged(rows: list[np.ndarray]) -> pa.ListArray:
