@@ -37,13 +37,14 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p = k / nd
     centre = (p + zz / (2 * nd)) / (1 + zz / nd)
     half = z * F.sqrt(p * (1 - p) / nd + zz / (4 * nd * nd)) / (1 + zz / nd)
-    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0))
+    tried = F.coalesce(n > 0, F.lit(False))
+    return F.when(tried, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0), F.when(tried, F.least(F.lit(1.0), centre + half)).otherwise(0.0)
 
 
 def wilson_sql(k: str, n: str) -> tuple[str, str]:
     p, zz = f"({k}/nullif({n},0e0))", f"{Z95 * Z95!r}e0"
     centre, half = f"({p}+{zz}/(2e0*{n}))/(1e0+{zz}/{n})", f"1.96e0*sqrt({p}*(1e0-{p})/{n}+{zz}/(4e0*{n}*{n}))/(1e0+{zz}/{n})"
-    return f"coalesce(greatest(0e0,{centre}-{half}),0e0)", f"coalesce(least(1e0,{centre}+{half}),0e0)"
+    return f"CASE WHEN {n} > 0 THEN greatest(0e0,{centre}-{half}) ELSE 0e0 END", f"CASE WHEN {n} > 0 THEN least(1e0,{centre}+{half}) ELSE 0e0 END"
 
 
 def false_delisting(p: Column, grace: Column) -> Column:
