@@ -71,14 +71,15 @@ class Counts:
 
 def gather_counts(rows: DataFrame, frequent: int = FREQUENT, size: int = SIZE) -> tuple[Counts, DataFrame]:
     counted = written(word_counts(rows), "counts")
-    by_log = counted.groupBy(F.floor(F.log2(F.col("c"))).alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    least, have = 64, 0
+    step = F.floor(8 * F.log2(F.col("c")))  # some hundreds of values, whatever the counts
+    by_log = counted.groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
+    least, have = None, 0
     for r in sorted(by_log, key=lambda r: -r["k"]):
         have += r["n"]
         if have > frequent:
             break
         least = r["k"]
-    top = counted.where(F.floor(F.log2(F.col("c"))) >= least).collect() if least < 64 else []
+    top = counted.where(step >= least).collect() if least is not None else []
     top.sort(key=lambda r: (-r["c"], r["word"]))
     return Counts([r["word"] for r in top], [r["c"] for r in top], sum(r["c"] for r in by_log), sum(r["n"] for r in by_log), rows.count(), size), counted
 
