@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.stats import chi2_tail_sql, two_sided_sql, wilson_sql
 from ..functions.text import AI_CATEGORIES, AI_TERMS, LEGAL_FORMS, NOISE, PLACEHOLDER, STOP_WORDS, TERM, TITLE_NOISE
 from ..sources.adapters import PROVIDERS
@@ -134,6 +136,14 @@ two AS (SELECT x.skill AS a, y.skill AS b, count(*) AS n2 FROM ex x JOIN ex y ON
   LEFT JOIN (SELECT lower(trim({f})) AS value, month, count(*) AS n FROM adverts GROUP BY ALL) USING (value, month)""")
     o["top_employers"] = with_(ADVERTS, "SELECT company, count(*) AS vacancies, CAST(list_sort(list(duration))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS INTEGER) AS median_days, round(avg(urls), 6) AS reposts FROM adverts WHERE trim(company) <> '' GROUP BY company HAVING count(*) >= 4 ORDER BY vacancies DESC, company LIMIT 14")
     o["specificity"] = with_(ADVERTS, "SELECT month, round(avg(len(skills)), 6) AS mean_skills, round(avg(CASE WHEN len(skills) = 0 THEN 1e0 ELSE 0e0 END), 6) AS share_naming_none, count(*) AS n FROM adverts WHERE described GROUP BY month HAVING count(*) >= 60")
+    o["trend_movers"] = with_(index("adverts"), f"SELECT skill, CASE WHEN slope_pp > 0 THEN 'riser' ELSE 'faller' END AS direction, {r('slope_pp')}, CASE WHEN fdr_robust THEN 'robust' ELSE 'nominal' END AS kind FROM ca WHERE significant AND slope_pp <> 0")
+    both = index("mentions") + ",\nment AS MATERIALIZED (SELECT * FROM ca)"
+    second = index("adverts").removeprefix(ADVERTS + ",")
+    for name in ("ca0", "ca1", "ca2", "ca3", "ca4", "ca", "mt", "months", "cnt", "kept", "sh0", "sh"):
+        second = re.sub(rf"\b{name}\b", f"adv_{name}", second)
+    o["both_bases"] = with_(both + "," + second, "SELECT skill, round(m.last_share, 6) AS mention_share, round(m.change_pp, 6) AS mention_change, round(a.last_share, 6) AS advert_share, round(a.change_pp, 6) AS advert_change, round((a.first_share - a.last_share) / nullif(a.first_share, 0), 6) AS relative_drop FROM ment m LEFT JOIN adv_ca a USING (skill)")
+    o["employer_bars"] = with_(ADVERTS, "SELECT company, vacancies, round(vacancies / CAST(max(vacancies) OVER () AS DOUBLE), 6) AS width FROM (SELECT company, count(*) AS vacancies FROM adverts WHERE trim(company) <> '' GROUP BY company HAVING count(*) >= 4 ORDER BY vacancies DESC, company LIMIT 10)")
+    o["middle_rmst"] = with_(TYPED + km("typed", "event_type") + km_summary("event_type"), "SELECT round(list_sort(list(rmst))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS middle FROM kms")
     names = ", ".join(map(text, PROVIDERS))
     o["provider_shares"] = with_(ADVERTS + ",\nmt AS (SELECT month, count(*) AS total FROM adverts WHERE described GROUP BY month HAVING count(*) >= 60),\npn AS (SELECT skill AS provider, month, count(*) AS n FROM (SELECT month, unnest(skills) AS skill FROM adverts WHERE described) JOIN mt USING (month) GROUP BY ALL)",
         f"SELECT provider, round(coalesce(max(n / CAST(total AS DOUBLE)) FILTER (month = (SELECT min(month) FROM mt)), 0), 6) AS first_share, round(coalesce(max(n / CAST(total AS DOUBLE)) FILTER (month = (SELECT max(month) FROM mt)), 0), 6) AS last_share, CAST(sum(n) AS BIGINT) AS vacancies FROM pn JOIN mt USING (month) WHERE provider IN ({names}) GROUP BY provider")

@@ -15,6 +15,7 @@ from ..operators import panel as pn
 from ..operators import semantic as sem
 from ..operators import survival as sv
 from ..operators import trends as tr
+from ..operators import views as vw
 from ..sources.adapters import PROVIDERS, adverts, event_runs, event_sightings, table
 
 GRACES = (1, 3, 7)
@@ -105,6 +106,24 @@ def composition(field: str) -> Query:
     return lambda spark, d: rounded(mk.composition(adverts(spark, d), field), "share")
 
 
+def movers(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vw.movers(mk.skill_index(adverts(spark, d))), "slope_pp")
+
+
+def both_bases(spark: SparkSession, d: str) -> DataFrame:
+    rows = adverts(spark, d)
+    return rounded(vw.both_bases(mk.skill_index(rows, "mentions"), mk.skill_index(rows)), "mention_share", "mention_change", "advert_share", "advert_change", "relative_drop")
+
+
+def employer_bars(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vw.bars(mk.top_employers(adverts(spark, d)).select("company", "vacancies"), "vacancies"), "width")
+
+
+def middle_rmst(spark: SparkSession, d: str) -> DataFrame:
+    obs = typed(spark, d).where("not left_censored")
+    return rounded(vw.middle(sv.km_summary(sv.km_curve(obs, ["event_type"]), ["event_type"]), "rmst"), "middle")
+
+
 def parts_as_adverts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = table(spark, d, "part").withColumn("company", F.col("p_brand"))
     skills = F.when(F.col("p_size") > 10, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>"))
@@ -225,6 +244,10 @@ def queries() -> dict[str, Query]:
         "top_employers": lambda s, d: rounded(mk.top_employers(adverts(s, d)), "reposts"),
         "specificity": lambda s, d: rounded(mk.specificity(adverts(s, d)), "mean_skills", "share_naming_none"),
         "provider_shares": lambda s, d: rounded(mk.provider_shares(adverts(s, d), PROVIDERS), "first_share", "last_share"),
+        "trend_movers": movers,
+        "both_bases": both_bases,
+        "employer_bars": employer_bars,
+        "middle_rmst": middle_rmst,
         "relevance_filter": lambda s, d: rounded(parts_as_adverts(s, d)[1], "dropped_share"),
         "dropped_employers": lambda s, d: mk.top_dropped(parts_as_adverts(s, d)[2]),
         "weekly_series": weekly_series,
