@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import ship
+
 #: Rows handed to a Python worker at once; long texts are cut into smaller work lists by `chunks`.
 BATCH_ROWS = 2000
 #: Characters that a worker holds split into words at once.
@@ -25,12 +25,15 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that every executor shares: spark.checkpoint.dir, or where that is unset one temporary folder for each application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tenura-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="tenura-shared-"))
     return found.rstrip("/")
 
 
@@ -46,22 +49,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application, wherever the driver was started."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="tenura-code-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(to))
-        _shipped.add(app)
-
-
 def tune(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
