@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,7 +111,3 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
-
-
-def split_lines(text: str) -> list[str]:
-    return re.split(r"\n+", text)

@@ -274,8 +274,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Two documents are linked if 100 * common >= percent * union of their sets of `size`-word shingles; component_id is
     the least doc_id that links reach, kept tells whether it is the row's own. Words are runs without ASCII white
     space, A-Z lower-cased; a text of fewer words is one shingle as a whole; a text that is null or has no words has no
-    shingle and is linked with nothing. Equal texts are linked. Rows that repeat an id are one document, linked as any
-    of their texts is; rows without an id are linked with nothing and kept. Other columns are ignored, whatever their
+    shingle and is linked with nothing. Equal texts are linked. Rows that repeat an id are one document; if
+    their texts differ, one of them stands for it in each comparison. Rows without an id are linked with nothing and
+    kept. Other columns are ignored, whatever their
     names; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
