@@ -48,7 +48,7 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.raw = [p.encode() for p in self.names]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
@@ -154,26 +154,27 @@ class Pieces:
         left = np.flatnonzero(alive)
         return word[left], left, edges[left, stop[left] - left - 1]
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of the pieces of each word."""
-        out: list[list[int]] = [[]] * len(words)
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of the pieces of each word, as packed 32-bit numbers."""
+        out = [b""] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
         size, edges = self.lattice([words[i] for i in short])
         if len(short):
             word, start, ids = self.fold(size, edges)
             begin = np.searchsorted(word, np.arange(len(short) + 1))
             whole = np.minimum.reduceat(ids, begin[:-1]) >= 0
-            flat, cut = ids.tolist(), begin.tolist()
+            flat, cut = ids.astype(np.int32).tobytes(), (4 * begin).tolist()
+            bound = begin.tolist()
             first = (np.cumsum(size) - size).tolist()
             for k, (i, ok) in enumerate(zip(short, whole.tolist(), strict=True)):
                 if ok:
                     out[i] = flat[cut[k] : cut[k + 1]]
                 else:
-                    bounds = [int(x) - first[k] for x in start[cut[k] : cut[k + 1]]] + [len(words[i])]
-                    out[i] = self.piece_ids(words[i], bounds)
+                    bounds = [int(x) - first[k] for x in start[bound[k] : bound[k + 1]]] + [len(words[i])]
+                    out[i] = packed(self.piece_ids(words[i], bounds))
         for i, w in enumerate(words):
             if len(w) > LONG:
-                out[i] = self.piece_ids(w, self.merge_long(w))
+                out[i] = packed(self.piece_ids(w, self.merge_long(w)))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -184,7 +185,7 @@ class Pieces:
         if new:
             self.known.update(zip(new, self.segment(new), strict=True))
         get = self.known.__getitem__
-        return [np.array(list(chain.from_iterable(map(get, s))), np.int32) for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
 
     def merge_long(self, word: str) -> list[int]:
         """Boundaries of a long word's segments, by a heap of candidate merges."""
@@ -230,6 +231,10 @@ class Pieces:
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def hashes(words: list[str], length: int) -> np.ndarray:
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(words), length)
     h = code[:, 0] * PRIME
