@@ -15,7 +15,7 @@ import numpy as np
 from .common import sigmoid
 
 OTHER, END = 0, 1
-DIM, NOISE, BATCH, RATE = 24, 64, 1024, 0.05
+DIM, NOISE, BATCH, RATE = 24, 64, 4096, 0.05
 
 
 @dataclass
@@ -95,15 +95,14 @@ class Trainer:
         v[at] -= RATE * g / np.sqrt(s[at])
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
-        """All tokens of a chunk: equal triples are one example that weighs as many."""
+        """All tokens of a chunk, dealt by chance to batches of BATCH tokens: equal triples of a batch are one example that weighs as many, and every token weighs 1 / BATCH."""
         size = len(self.m.b)
         w1, w2 = contexts(ids, first)
-        key, n = np.unique((w2.astype(np.int64) * size + w1) * size + ids, return_counts=True)
+        key = self.rng.permutation((w2.astype(np.int64) * size + w1) * size + ids)
         self.tokens += len(ids)
-        order = self.rng.permutation(len(key))
         for i in range(0, len(key), BATCH):
-            k, n_i = key[order[i : i + BATCH]], n[order[i : i + BATCH]]
-            self.batch(k // (size * size), k // size % size, k % size, n_i / n_i.sum())
+            k, n = np.unique(key[i : i + BATCH], return_counts=True)
+            self.batch(k // (size * size), k // size % size, k % size, n / BATCH)
 
     def batch(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
         m = self.m

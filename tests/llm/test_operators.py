@@ -3,6 +3,7 @@ empty and very long texts, ties and repeated rows, empty tables, extra columns o
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -29,6 +30,7 @@ from tenura.llm.toxicity import fit_toxicity, label_model, score_toxicity
 
 P = pytest.importorskip("public_tokenizers")
 BPE, SP = str(P.path("byte_bpe_50k.json")), str(P.path("piece_bpe_32k.model"))
+DATA = "/root/testdata/sf0.1"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = "word " * 40_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, score double, word string, rep long, comp long"
@@ -316,6 +318,31 @@ def test_training_beats_the_unigram():
     assert (a1[w1, ids] + a2[w2, ids] - z[w2, w1]).mean() > np.log(p[ids]).mean() + 0.3
 
 
+def test_training_weighs_triples_by_their_tokens(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = np.where(rng.random(60_000) < 0.7, 0, rng.integers(2, 60, 60_000))
+    first = np.arange(len(ids)) % 500 == 0
+    weights = Counter()
+
+    def noted(self, w2, w1, w, weight):
+        for *k, x in zip(w2.tolist(), w1.tolist(), w.tolist(), weight.tolist(), strict=True):
+            weights[tuple(k)] += x
+
+    monkeypatch.setattr(log_bilinear.Trainer, "batch", noted)
+    counts = np.bincount(ids, minlength=60).astype(float)
+    log_bilinear.Trainer(log_bilinear.start(counts), counts, 1).learn(ids, first)
+    w1, w2 = log_bilinear.contexts(ids, first)
+    seen = Counter(zip(w2.tolist(), w1.tolist(), ids.tolist(), strict=True))
+    scale = sum(weights.values()) / len(ids)
+    assert weights.keys() == seen.keys() and all(abs(weights[k] - n * scale) < 1e-6 * n for k, n in seen.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_held_out_real_texts_score_above_the_unigram(spark):
+    out = lm_scoring.op6_lm_scoring(spark, DATA).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
+    assert (out[0] - out[1]) / out[2] > 0.08
+
+
 # classifiers
 
 
