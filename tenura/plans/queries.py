@@ -201,13 +201,12 @@ def instrument(spark: SparkSession, d: str) -> tuple[dict[str, float], list[floa
 
 def simulate_moments(spark: SparkSession, d: str) -> DataFrame:
     observed, ages, stay, n = instrument(spark, d)
-    points = [(42, m, s, w) for m in (1.6, 2.2, 2.8) for s in (0.4, 0.8) for w in (0.0, 0.3)]
-    return cal.evaluate(spark, points, observed, ages, stay, n, 3, 4000)
+    return cal.evaluate(spark, cal.coarse_grid((42,)), observed, ages, stay, n, 3, 6000)
 
 
 def calibrated(spark: SparkSession, d: str) -> DataFrame:
     observed, ages, stay, n = instrument(spark, d)
-    return cal.calibrate(spark, observed, ages, stay, n, 3, seeds=(1, 7, 42), n_sim=300)
+    return cal.calibrate(spark, observed, ages, stay, n, 3)
 
 
 def queries() -> dict[str, Query]:
