@@ -177,7 +177,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return sem.cluster(vectors(spark, d), "vec_id", ks=range(6, 9), starts=2)[1]
+    return sem.cluster(vectors(spark, d), "vec_id")[1]
 
 
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:

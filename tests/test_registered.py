@@ -3,6 +3,7 @@
 import inspect
 
 from tenura.operators import calibrate as cal
+from tenura.operators import semantic as sem
 from tenura.plans import queries
 
 
@@ -15,3 +16,12 @@ def test_calibrations_run_the_whole_search(monkeypatch):
     queries.simulate_moments(None, "")
     assert done["calibrate"].arguments["seeds"] == cal.SEEDS and done["calibrate"].arguments["n_sim"] == 6000
     assert done["evaluate"].arguments["points"] == cal.coarse_grid((42,)) and done["evaluate"].arguments["n_sim"] == 6000
+
+
+def test_clusters_try_every_k_from_every_start(monkeypatch):
+    done, sig = [], inspect.signature(sem.cluster)
+    monkeypatch.setattr(queries, "vectors", lambda spark, d: None)
+    monkeypatch.setattr(sem, "cluster", lambda *a, **k: done.append(sig.bind(*a, **k)) or (None, None))
+    queries.clusters(None, "")
+    done[0].apply_defaults()
+    assert (done[0].arguments["ks"], done[0].arguments["starts"]) == (range(6, 17), 10)
