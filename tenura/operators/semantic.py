@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, TERM, clean_title
 
 SEED = 42
+#: TERM in whole Unicode text: its edges of words written out, a word character being a letter, a number or an underscore.
+WHOLE_TERM = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z+#./-]{1,}(?:(?<=[a-zA-Z])(?![\p{L}\p{N}_])|(?<=[+#./-])(?=[\p{L}\p{N}_]))"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+def tokens(text: Column, pattern: str = TERM) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-def ctfidf_scores(rows: DataFrame, group: str, text: str, vocabulary: int = 40_000, least_groups: int = 2) -> DataFrame:
+def ctfidf_scores(rows: DataFrame, group: str, text: str, vocabulary: int = 40_000, least_groups: int = 2, pattern: str = TERM) -> DataFrame:
     """(cluster, term, score): class-based TF-IDF of words and word pairs, with group -1 left out.
 
     Terms must occur in `least_groups` groups; the vocabulary is cut by corpus frequency (ties: by term); then terms
     with a stop word go, and frequencies are shares of what is left. Pairs lie within one text.
     """
-    toks = rows.where(F.col(group).isNotNull() & (F.col(group).cast("string") != "-1")).select(F.col(group).alias("cluster"), tokens(F.col(text)).alias("t"))
+    toks = rows.where(F.col(group).isNotNull() & (F.col(group).cast("string") != "-1")).select(F.col(group).alias("cluster"), tokens(F.col(text), pattern).alias("t"))
     pairs = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("t", i), x))
     tf = toks.select("cluster", F.explode(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least_groups)

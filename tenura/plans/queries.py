@@ -162,7 +162,7 @@ def ctfidf_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ctfidf_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return sem.keywords(sem.ctfidf_scores(plain_documents(spark, d), "lang", "text"))
+    return sem.keywords(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", pattern=sem.WHOLE_TERM), considered=40_000)
 
 
 def cluster_names(spark: SparkSession, d: str) -> DataFrame:

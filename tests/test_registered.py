@@ -25,3 +25,9 @@ def test_clusters_try_every_k_from_every_start(monkeypatch):
     queries.clusters(None, "")
     done[0].apply_defaults()
     assert (done[0].arguments["ks"], done[0].arguments["starts"]) == (range(6, 17), 10)
+
+
+def test_keywords_read_unaltered_texts(spark, tmp_path):
+    text = "réeux réeux réeux naïf c++1 plain word_ cat"
+    spark.createDataFrame([(1, "fr", text), (2, "de", text)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["cluster"]: sorted(r["keywords"]) for r in queries.ctfidf_keywords(spark, str(tmp_path)).collect()} == {c: ["c++", "cat", "plain"] for c in ("fr", "de")}
