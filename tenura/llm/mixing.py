@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, table, written
+from .common import WORD_PATTERN, fresh, table, written
 
 DIMS = ("source", "lang", "topic")
 #: Topics by what a text holds, the first that fits: (name, pattern); `prose` where none does.
@@ -29,10 +29,10 @@ def topic_of(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def celled(docs: DataFrame) -> DataFrame:
-    """`docs` with the cell's columns _source, _lang and _topic; null counts as ''."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(text)})
+def cell_of(docs: DataFrame) -> Column:
+    """The cell of a row of `docs`, as struct (source, lang, topic); null counts as ''."""
+    blank = F.lit("")
+    return F.struct(F.coalesce(docs["source"], blank).alias("source"), F.coalesce(docs["lang"], blank).alias("lang"), topic_of(F.coalesce(docs["text"], blank)).alias("topic"))
 
 
 def tokens_of(text: Column) -> Column:
@@ -73,7 +73,7 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     their observed share, and each margin is scaled to 1. A margin without targets gets flattened shares.
     """
     spark = docs.sparkSession
-    seen = celled(docs).select(*(F.col(f"_{d}").alias(d) for d in DIMS), tokens_of(F.col("text")).alias("n"))
+    seen = docs.select(cell_of(docs).alias("cell"), tokens_of(docs["text"]).alias("n")).select("cell.*", "n")
     cells = written(seen.groupBy(*DIMS).agg(F.sum("n").alias("tokens")).where("tokens > 0"), "cells").coalesce(1)
     base = cells
     for dim in DIMS:
@@ -96,27 +96,39 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     return written(ranked.select(*DIMS, "tokens", "weight", F.least(F.lit(1.0), F.col("scale") * F.col("weight") / F.col("tokens")).alias("probability")), "probabilities")
 
 
-def assign(docs: DataFrame, cells: DataFrame, seed: str = SEED) -> DataFrame:
-    """`docs` with _source, _lang, _topic, _probability and _kept. Documents without tokens have probability 1, as no weight depends on them."""
-    named = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("probability").alias("_probability"))
-    out = celled(docs).join(named, [f"_{d}" for d in DIMS], "left").withColumn("_probability", F.coalesce("_probability", F.lit(1.0)))
-    return out.withColumn("_kept", uniform(F.col("doc_id"), seed) < F.col("_probability"))
+def assign(docs: DataFrame, cells: DataFrame, seed: str = SEED, name: str = "cell") -> DataFrame:
+    """`docs` with one more column `name`, a struct (source, lang, topic, probability, kept).
+
+    Documents without tokens have probability 1, as no weight depends on them. `name` must be new to `docs`.
+    """
+    if fresh(docs, name) != name:
+        raise ValueError(f"the documents have a column {name}")
+    columns = docs.columns
+    p = fresh(docs, "probability")
+    of = {d: fresh(docs, f"{d}_of_cell") for d in DIMS}
+    named = cells.select(*(F.col(d).alias(of[d]) for d in DIMS), F.col("probability").alias(p))
+    rows = docs.withColumn(name, cell_of(docs))
+    same = [rows[name][d] == named[of[d]] for d in DIMS]
+    probability = F.coalesce(named[p], F.lit(1.0))
+    cell = [*(rows[name][d].alias(d) for d in DIMS), probability.alias("probability"), (uniform(rows["doc_id"], seed) < probability).alias("kept")]
+    return rows.join(named, same, "left").select(*(rows[c] for c in columns), F.struct(*cell).alias(name))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """The sampled rows of `docs`, with all its columns.
+    """The sampled rows of `docs`, with all its columns, whatever their names.
 
     Null sources, languages and texts count as ''; a null id as ''. Rows that repeat an id are kept or left together if
-    their cells agree. Columns of other names are carried; those that begin with an underscore and clash with the names
-    used here must be renamed first. An empty table gives an empty result.
+    their cells agree. Very long texts are read whole. An empty table gives an empty result.
     """
-    return assign(docs, probabilities(docs, targets, keep), seed).where("_kept").select(*docs.columns)
+    name = fresh(docs, "cell")
+    out = assign(docs, probabilities(docs, targets, keep), seed, name)
+    return out.where(out[name]["kept"]).drop(name)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     out = assign(docs, probabilities(docs))
-    return out.select("doc_id", F.col("_topic").alias("topic"), tokens_of(F.col("text")).alias("n_tokens"), F.round("_probability", 9).alias("probability"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", "cell.topic", tokens_of(F.col("text")).alias("n_tokens"), F.round("cell.probability", 9).alias("probability"), "cell.kept")
 
 
 def op5_sql(rounds: int = ROUNDS) -> str:

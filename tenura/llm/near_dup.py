@@ -7,10 +7,15 @@ signature lanes, counted with bit operations and corrected for chance collisions
 the threshold or above are confirmed on the full sets, which are made again from the texts.
 
 Candidates are searched in three steps, so that large groups of near copies never meet pair by pair: two star steps
-(over a few bands, then over all) compare each member of a bucket with one member of another component. A last step finds,
-within each bucket that still holds several components and in blocks, which documents may be linked to which other
-component, and compares each of those documents with all members of that component, again in blocks, which give only
-links. Pairs of one component need no comparison, as they change no component.
+(over a few bands, then over all) compare each member of a bucket with one member of another component. Stars have two
+levels: a bucket is dealt into parts, members meet the hub of their part, and the hubs of parts meet the bucket's; with
+as many parts as the root of all classes, no hub meets more than a few times that many. A last step finds, within each
+bucket that still holds several components and in blocks, which classes may be linked to which other component, and
+compares each of those with all members of that component, again in blocks, which give only links. Pairs of one
+component need no comparison, as they change no component.
+
+Full sets are made once for each class that a candidate pair names, and written as packed 64-bit hashes; a hub's set is
+sent once to each block of its partners.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_arrow, mix64, table, words_of, written
+from .common import WordHashes, looked_up, map_arrow, mix64, settings, table, words_of, written
 from .components import components
 
 ROWS, BANDS, BITS = 6, 40, 4
@@ -30,8 +36,10 @@ HASHES = ROWS * BANDS
 LANES = 64 // BITS
 WORDS64 = HASHES // LANES
 FIRST_BANDS = 4
-#: Rows of a bucket that meet within one cell of the last step.
+#: Rows of a bucket that meet within one cell of the last step, and partners that one copy of a hub's set serves.
 CELL = 512
+#: Words whose hashes a worker remembers.
+KNOWN = 100_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -45,7 +53,7 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.hashes = WordHashes()
+        self.hashes = WordHashes(KNOWN)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -114,19 +122,19 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: lanes(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>, bands array<long>"
+SIGNED = "row long, doc_id long, text_hash long, n_shingles long, f1 long, f2 long, signature array<long>, bands array<long>"
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """One row for each document: set size, fingerprint of the set, signature and band keys (null without words)."""
+    """One row for each document (doc_id, text, text_hash): a number of its own (stable once written), set size, fingerprint of the set, signature and band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (a, b) = Shingler(size), functions()
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for r in batches:
             n, f1, f2, low, full = [], [], [], [], []
-            ids = r.column("doc_id").to_pylist()
-            for i, text in enumerate(r.column("text").to_pylist()):
-                s = shingles(text)
+            for i, text in enumerate(r.column("text")):
+                s = shingles(text.as_py())
                 n.append(len(s))
                 if len(s):
                     f1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
@@ -134,55 +142,82 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                     low.append(minima(s, a, b))
                     full.append(i)
                 else:  # spread over partitions; no class has an empty set
-                    f1.append(ids[i] or 0)
+                    f1.append(row + i)
                     f2.append(0)
-            sig: list = [None] * len(ids)
-            keys: list = [None] * len(ids)
+            sig: list = [None] * len(n)
+            keys: list = [None] * len(n)
             if full:
                 m = np.stack(low)
-                for i, s, k in zip(full, signatures(m).view(np.int64).tolist(), band_keys(m).tolist(), strict=True):
+                for i, s, k in zip(full, signatures(m).view(np.int64), band_keys(m), strict=True):
                     sig[i], keys[i] = s, k
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([r.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, kind), pa.array(keys, kind)], ["doc_id", "n_shingles", "f1", "f2", "signature", "bands"])
+            ids = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            columns = [ids, r.column("doc_id"), r.column("text_hash"), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), pa.array(sig, kind), pa.array(keys, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text_hash", "n_shingles", "f1", "f2", "signature", "bands"])
 
-    return map_arrow(docs, run, SIGNED)
+    return map_arrow(docs.select("doc_id", "text", "text_hash"), run, SIGNED)
 
 
-def with_texts(rows: DataFrame, columns: list[str], docs: DataFrame) -> DataFrame:
-    """`rows` with a column <c>_text for each of the columns of ids."""
-    spark = docs.sparkSession
-    # the ids wanted are far fewer than the documents: let Spark filter the texts by them before they are shuffled
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    wanted = rows.select(F.explode(F.array(*columns)).alias("doc_id")).distinct()
-    texts = written(docs.join(written(wanted, "wanted"), "doc_id"), "texts").dropDuplicates(["doc_id"])
-    for c in columns:
-        rows = rows.join(texts.withColumnsRenamed({"doc_id": c, "text": f"{c}_text"}), c)
-    return rows
+def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set), the sorted shingle hashes as packed bytes, of nodes (node, doc_id, text_hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
+        for r in batches:
+            for i in range(0, r.num_rows, 200):
+                part = r.slice(i, 200)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(x.as_py()).tobytes() for x in part.column("text")], pa.binary())], ["node", "set"])
+
+    # the classes wanted are far fewer than the documents: let Spark filter the texts by them before they are shuffled
+    few = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    with settings(docs.sparkSession, few):
+        found = docs.join(written(nodes, "wanted"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+        return written(map_arrow(found, run, "node long, set binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = with_texts(pairs, ["b", "a"], docs)
+def common_of(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def meeting(percent: int):  # noqa: ANN201
+    """A mapInArrow function over rows (c, i, j, side, node, signature, set) sorted by cell (c, i, j) and side: links (a, b) between the rows of either side of a cell."""
+    most = most_differing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
-        last, mine = None, np.zeros(0, np.uint64)
+        cell, nodes, sets, sigs, packed = None, [], [], [], None
         for r in batches:
-            keep = []
-            for a, x, y in zip(r.column("a").to_pylist(), r.column("a_text").to_pylist(), r.column("b_text").to_pylist(), strict=True):
-                if a != last:
-                    last, mine = a, shingles(x)
-                other = shingles(y)
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(mine) + len(other) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out_a, out_b = [], []
+            cells = zip(*(r.column(k).to_pylist() for k in ("c", "i", "j", "side", "node")), strict=True)
+            signature = r.column("signature").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)
+            for (c, i, j, side, node), sig, packed_set in zip(cells, signature, r.column("set"), strict=True):
+                if (c, i, j) != cell:
+                    cell, nodes, sets, sigs, packed = (c, i, j), [], [], [], None
+                mine = np.frombuffer(packed_set.as_py(), np.uint64)
+                if side == 0:
+                    nodes.append(node)
+                    sets.append(mine)
+                    sigs.append(sig.copy())
+                elif nodes:
+                    packed = np.stack(sigs) if packed is None else packed
+                    for k in np.flatnonzero(fold(packed ^ sig) <= most).tolist():
+                        both = common_of(mine, sets[k])
+                        if 100 * both >= percent * (len(mine) + len(sets[k]) - both) and both:
+                            out_a.append(min(node, nodes[k]))
+                            out_b.append(max(node, nodes[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
 
-    return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a long, b long")
+def linked(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in cells: rows (c, i, j, side, node, signature, set)."""
+    dealt = cells.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side")
+    return map_arrow(dealt, meeting(percent), "a long, b long")
 
 
 def cell_pairs(most: int):  # noqa: ANN201
-    """A mapInArrow function over rows sorted by cell: (x, other), a document and the component of a smaller label that holds one with at most `most` lanes differing from it."""
+    """A mapInArrow function over rows sorted by cell: (x, other), a class and the component of a smaller label that holds one with at most `most` lanes differing from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,24 +225,25 @@ def cell_pairs(most: int):  # noqa: ANN201
         def met(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             cell = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            rep, comp, side = (t.column(c).to_numpy() for c in ("rep", "comp", "chunk"))
-            sig = t.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), WORDS64)
-            first = np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)] if len(rep) else np.zeros(0, bool)
-            run_end = np.r_[np.flatnonzero(first)[1:], len(rep)].repeat(np.diff(np.r_[np.flatnonzero(first), len(rep)]))
+            node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "chunk"))
+            sig = t.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), WORDS64)
+            first = np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)] if len(node) else np.zeros(0, bool)
+            run_end = np.r_[np.flatnonzero(first)[1:], len(node)].repeat(np.diff(np.r_[np.flatnonzero(first), len(node)]))
             i, j = cell[1], cell[2]
-            out_a, out_b = [], []
-            at, step = np.arange(len(rep)), 1
+            out_x, out_other = [], []
+            at, step = np.arange(len(node)), 1
             while len(at := at[at + step < run_end[at]]):
                 to = at + step
                 # a cell of two chunks is for pairs across them
                 ok = (comp[at] != comp[to]) & (((i == j)[at]) | (side[at] != side[to]))
                 a, b = at[ok], to[ok]
                 near = fold(sig[a] ^ sig[b]) <= most
-                out_a.append(a[near])
-                out_b.append(b[near])
+                a, b = a[near], b[near]
+                out_x.append(np.where(comp[a] > comp[b], node[a], node[b]))
+                out_other.append(np.minimum(comp[a], comp[b]))
                 step += 1
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            found = np.unique(np.stack([np.where(comp[a] > comp[b], rep[a], rep[b]), np.minimum(comp[a], comp[b])]), axis=1)
+            x, other = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_x, out_other))
+            found = np.unique(np.stack([x, other]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["x", "other"])
 
         for r in batches:
@@ -228,110 +264,137 @@ def cell_pairs(most: int):  # noqa: ANN201
     return run
 
 
-def linked_to(asked: DataFrame, member: DataFrame, signature: DataFrame, docs: DataFrame, size: int, percent: int, block: int = CELL) -> DataFrame:
-    """Links (a, b) between documents x and members of the component `other`, of rows `asked` (x, other); `member` has (rep, comp)."""
-    most = most_differing(percent)
-    per = asked.groupBy(F.col("other").alias("comp")).agg(F.count("*").alias("n"))
-    sizes = member.join(per, "comp").groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("ni"), F.ceil(F.first("n") / block).cast("int").alias("nj"))
-    sizes = written(sizes, "sizes")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    some = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
-    outside = asked.select(F.col("x").alias("rep"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
-    columns = ["comp", "i", "j", "side", "rep"]
-    cells = written(inside.select(*columns).union(outside.select(*columns)), "asked")
-    full = with_texts(cells, ["rep"], docs).join(signature, "rep").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
-        cell, reps, sets, sigs, packed = None, [], [], [], None
-        for r in batches:
-            out_a, out_b = [], []
-            rows = zip(*(r.column(c).to_pylist() for c in ("comp", "i", "j", "side", "rep", "rep_text")), r.column("signature").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64), strict=True)
-            for c, i, j, side, rep, text, sig in rows:
-                if (c, i, j) != cell:
-                    cell, reps, sets, sigs, packed = (c, i, j), [], [], [], None
-                mine = shingles(text)
-                if side == 0:
-                    reps.append(rep)
-                    sets.append(mine)
-                    sigs.append(sig)
-                elif reps:
-                    packed = np.stack(sigs) if packed is None else packed
-                    for k in np.flatnonzero(fold(packed ^ sig) <= most).tolist():
-                        common = len(np.intersect1d(mine, sets[k], assume_unique=True))
-                        if 100 * common >= percent * (len(mine) + len(sets[k]) - common) and common:
-                            out_a.append(min(rep, reps[k]))
-                            out_b.append(max(rep, reps[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return map_arrow(full.select(*columns, "rep_text", "signature"), run, "a long, b long")
+class Search:
+    """The links between classes `reps` (node, doc_id, text_hash, signature, bands), and the components they make."""
+
+    def __init__(self, reps: DataFrame, docs: DataFrame, size: int, percent: int):
+        self.reps, self.docs, self.size, self.percent = reps, docs, size, percent
+        self.parts = max(16, int(reps.count() ** 0.5))
+        self.signature = reps.select("node", "signature")
+        self.sets: DataFrame | None = None
+        self.edges: DataFrame | None = None
+        self.comp: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def keyed(self, bands: int) -> DataFrame:
+        """(node, comp, key): each class in the buckets of its first bands, with the label of its component so far."""
+        k = self.with_comp(self.reps.select("node", F.slice("bands", 1, bands).alias("bands"))).select("node", "comp", F.explode("bands").alias("key"))
+        return written(k, "keys")
+
+    def with_comp(self, rows: DataFrame) -> DataFrame:
+        if self.comp is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def with_sets(self, rows: DataFrame) -> DataFrame:
+        """`rows` (node, ...) with `set`; sets that no step has made yet are made."""
+        wanted = rows.select("node").distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        new = sets_of(wanted.join(self.reps.select("node", "doc_id", "text_hash"), "node"), self.docs, self.size)
+        self.sets = new if self.sets is None else self.sets.union(new)
+        return rows.join(self.sets, "node")
+
+    def learn(self, found: DataFrame) -> None:
+        new = written(found, "links")
+        if not new.isEmpty():
+            self.edges = new if self.edges is None else self.edges.union(new)
+            self.comp = components(self.edges)
+
+    def stars(self, bands: int) -> None:
+        """Members of a bucket against the hub of their part, and the hubs of its parts against the bucket's."""
+        k = self.keyed(bands).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self.parts)).cast("int"))
+        hub = [F.min("comp").alias("least"), F.max("comp").alias("top"), F.min_by("node", "comp").alias("hub")]
+        of_part = k.groupBy("key", "part").agg(*hub)
+        inner = of_part.where("least < top").drop("top")
+        low = k.join(inner, ["key", "part"]).where("comp <> least").select("hub", "node")
+        of_key = of_part.groupBy("key").agg(F.min("least").alias("first"), F.max("least").alias("last"), F.min_by("hub", "least").alias("top_hub")).where("first < last")
+        high = of_part.select("key", "least", "hub").join(of_key, "key").where("least <> first").select(F.col("top_hub").alias("hub"), F.col("hub").alias("node"))
+        pairs = low.union(high).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        if pairs.isEmpty():
+            return
+        degree = pairs.groupBy("a").count().agg(F.max("count")).head()[0]
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(-(-degree // CELL))).cast("int"))
+        hubs = written(salted.select("a", "salt").distinct().join(self.signature.withColumnsRenamed({"node": "a", "signature": "x"}), "a"), "hubs")
+        near = salted.join(self.signature.withColumnsRenamed({"node": "b", "signature": "y"}), "b").join(hubs, ["a", "salt"])
+        near = written(near.where(differing(F.col("x"), F.col("y")) <= most_differing(self.percent)).select("a", "salt", "b", F.col("y").alias("signature")), "near")
+        if near.isEmpty():
+            return
+        cell = [F.col("a").alias("c"), F.col("salt").alias("i"), F.lit(0).alias("j")]
+        centre = near.select("a", "salt").distinct().join(hubs, ["a", "salt"]).select(*cell, F.lit(0).alias("side"), F.col("a").alias("node"), F.col("x").alias("signature"))
+        around = near.select(*cell, F.lit(1).alias("side"), F.col("b").alias("node"), "signature")
+        self.learn(linked(self.with_sets(written(centre.union(around), "cells")), self.percent))
+
+    def rest(self) -> None:
+        """Buckets that hold several components still: their classes against each other by signature, in blocks, then by sets against whole components."""
+        k = self.keyed(BANDS)
+        mixed = k.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.count("*").alias("n")).where("least < top").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
+        cells = k.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        cells = cells.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp", "chunk")
+        cells = cells.join(self.signature, "node").select("key", "i", "j", "node", "comp", "chunk", "signature")
+        cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        asked = written(map_arrow(cells, cell_pairs(most_differing(self.percent)), "x long, other long").distinct(), "asked")
+        if asked.isEmpty():
+            return
+        member = self.with_comp(self.reps.select("node"))
+        per = asked.groupBy(F.col("other").alias("comp")).agg(F.count("*").alias("n"))
+        sizes = member.join(per, "comp").groupBy("comp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("ni"), F.ceil(F.first("n") / CELL).cast("int").alias("nj"))
+        sizes = written(sizes, "sizes")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        some = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
+        outside = asked.select(F.col("x").alias("node"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
+        columns = [F.col("comp").alias("c"), "i", "j", "side", "node"]
+        both = written(inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node"), "cells")
+        self.learn(linked(self.with_sets(both), self.percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Two documents are linked if 100 * common >= percent * union of their sets of `size`-word shingles; component_id is
-    the least doc_id that links reach, kept tells whether it is the row's own. Words are runs without ASCII white
-    space, A-Z lower-cased; a text of fewer words is one shingle as a whole; a text that is null or has no words has no
-    shingle and is linked with nothing. Equal texts are linked. Rows that repeat an id are one document; if
-    their texts differ, one of them stands for it in each comparison. Rows without an id are linked with nothing and
-    kept. Other columns are ignored, whatever their
-    names; an empty table gives an empty result.
+    """(doc_id, n_shingles, component_id, kept, text_hash, chosen) for every row.
+
+    Two rows are linked if 100 * common >= percent * union of their sets of `size`-word shingles; component_id is the
+    least doc_id that links reach, kept tells whether it is the row's own. Words are runs without ASCII white space, A-Z
+    lower-cased; a text of fewer words is one shingle as a whole; a text that is null or has no words has no shingle and
+    is linked with nothing. Rows that repeat an id are compared each by its own text: equal ones are linked, others only
+    if similar enough. text_hash is xxhash64 of the text; chosen marks the rows of one (doc_id, text) of each component,
+    and all rows that no link reaches. Rows without an id are linked with nothing, kept and chosen.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     whole = written(signed(rows, size), "signed")
     key = ["n_shingles", "f1", "f2"]
-    classes = written(whole.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = whole.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
-    reps = written(chosen.select(F.col("doc_id").alias("rep"), "signature", "bands"), "reps")
-    most = most_differing(percent)
-    edges: DataFrame | None = None
-    comp: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def keyed(first: int) -> DataFrame:
-        named = reps.select("rep", F.slice("bands", 1, first).alias("bands"))
-        named = named.withColumn("comp", F.col("rep")) if comp is None else named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        return named.select("rep", "comp", F.explode("bands").alias("key"))
-
-    def learn(pairs: DataFrame) -> None:
-        """Confirms new pairs and brings the components up to date."""
-        nonlocal edges, comp, tried
-        new = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = new if tried is None else tried.union(new)
-        if new.isEmpty():
-            return
-        found = written(confirmed(new, rows, size, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
-
-    for first in (FIRST_BANDS, BANDS):
-        k = written(keyed(first), "keys")
-        hubs = k.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.min_by("rep", "comp").alias("hub")).where("least < top")
-        stars = k.join(hubs, "key").where("comp <> least").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        sig = reps.select("rep", "signature").dropDuplicates(["rep"])
-        near = stars.join(sig.withColumnsRenamed({"rep": "b", "signature": "y"}), "b").join(sig.withColumnsRenamed({"rep": "a", "signature": "x"}), "a")
-        learn(near.where(differing(F.col("x"), F.col("y")) <= most).select("a", "b"))
-    k = written(keyed(BANDS), "keys")
-    mixed = k.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.count("*").alias("n")).where("least < top").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
-    cells = k.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "comp", "chunk")
-    cells = cells.join(reps.select("rep", "signature").dropDuplicates(["rep"]), "rep").select("key", "i", "j", "rep", "comp", "chunk", "signature")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    asked = written(map_arrow(cells, cell_pairs(most), "x long, other long").distinct(), "asked")
-    if not asked.isEmpty():
-        member = reps.select("rep").distinct()
-        member = member.withColumn("comp", F.col("rep")) if comp is None else member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        found = written(linked_to(asked, member, reps.select("rep", "signature").dropDuplicates(["rep"]), rows, size, percent), "links")
-        comp = components(found if edges is None else edges.union(found))
-
-    named = classes if comp is None else classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
-    out = whole.select("doc_id", *key).join(named.select(*key, F.col("rep").alias("component_id")), key, "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    first = F.min(F.struct("doc_id", "row", "text_hash")).alias("first")
+    classes = whole.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(first, F.count("*").alias("n"))
+    classes = written(classes.select(*key, F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("first_text"), "n"), "classes")
+    reps = classes.select("node").join(whole.withColumnRenamed("row", "node"), "node").select("node", "doc_id", "text_hash", "signature", "bands")
+    search = Search(written(reps, "reps"), rows, size, percent)
+    search.stars(FIRST_BANDS)
+    search.stars(BANDS)
+    search.rest()
+
+    # only classes of several rows, or in a component, differ from what a row by itself tells
+    grouped = classes.where("n > 1").withColumn("comp", F.col("node"))
+    if search.comp is not None:
+        grouped = classes.join(search.comp, "node", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
+    best = grouped.groupBy("comp").agg(F.min(F.struct("least", *key)).alias("best"))
+    in_best = F.struct(*key) == F.struct(*(f"best.{c}" for c in key))
+    named = looked_up(grouped.select(*key, "node", "comp", "first_text"), best, ["comp"], "node")
+    named = written(named.select(*key, F.col("best.least").alias("component_id"), F.when(in_best, F.col("first_text")).alias("chosen_text")), "named")
+    found = named.withColumn("grouped", F.lit(True))
+    out = looked_up(whole.where("doc_id is not null").select("doc_id", *key, "row", "text_hash"), found, key, "row")
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.col("doc_id") == component
+    chosen = F.col("grouped").isNull() | (kept & F.coalesce(F.col("text_hash") == F.col("chosen_text"), F.lit(False)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", chosen.alias("chosen"))
+    alone = whole.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash", F.lit(True).alias("chosen"))
+    return out.union(alone)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")

@@ -126,7 +126,7 @@ def redact(docs: DataFrame, net: CharCnn | None = None) -> DataFrame:
             cols = list(b.columns)
             cols[at] = pa.array(texts, pa.string())
             if size is not None:
-                cols[size] = pa.array(lengths, pa.int64())
+                cols[size] = pa.array(lengths, b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return map_arrow(docs, run, schema)

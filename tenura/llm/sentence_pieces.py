@@ -32,7 +32,9 @@ MARK = "▁"
 #: Words of more characters are merged one by one with a heap.
 LONG = 64
 #: Words whose segmentations a worker remembers before it starts anew.
-HELD = 400_000
+HELD = 250_000
+#: Characters of new words whose lattice is held at once, 16 edges of 4 bytes each.
+BLOCK = 200_000
 NONE = np.int32(1 << 30)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,8 +184,8 @@ class Pieces:
         if len(self.known) > HELD:
             self.known.clear()
         new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
-        if new:
-            self.known.update(zip(new, self.segment(new), strict=True))
+        for i, j in chunks(new, BLOCK):
+            self.known.update(zip(new[i:j], self.segment(new[i:j]), strict=True))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
 
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         byte_ids = np.array(sorted(p.bytes.values()))
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, 1_000_000):
                 ids = p.encode(texts[i:j])
                 n_bytes = [int(np.isin(x, byte_ids).sum()) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), ragged(ids), pa.array(n_bytes, pa.int64())], ["doc_id", "ids", "n_bytes"])

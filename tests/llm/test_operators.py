@@ -264,6 +264,10 @@ def test_mixing_meets_its_targets(spark, odd, none):
     share = kept.count() / 3000
     assert 0.25 < share < 0.35 and kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in mix(docs.orderBy(F.desc("doc_id")), targets, keep=0.3).select("doc_id").collect()}
+    clash = docs.withColumns({"_kept": F.lit("mine"), "cell": F.lit("mine"), "probability": F.lit(2.0), "_topic": F.lit("mine")})
+    assert mix(clash, targets, keep=0.3).dtypes == clash.dtypes and {tuple(r)[4:] for r in mix(clash, targets, keep=0.3).collect()} == {("mine", "mine", 2.0, "mine")}
+    with pytest.raises(ValueError, match="cell"):
+        assign(clash, cells)
     nulls = odd.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
     assert assign(nulls, probabilities(nulls)).count() == len(ODD) and mix(none).count() == 0
 
