@@ -46,9 +46,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _open:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[list[str]]:
+    """Tables written inside are deleted at the end, but for the last one with `keep`: nothing returned may read the others."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+        for path in made[:-1] if keep else made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,19 +84,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for the jobs that run inside; what was set before comes back."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or with underscores put before it until no column of `df` has that name."""
     taken = {c.lower() for c in df.columns}

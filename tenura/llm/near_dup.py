@@ -14,8 +14,8 @@ bucket that still holds several components and in blocks, which classes may be l
 compares each of those with all members of that component, again in blocks, which give only links. Pairs of one
 component need no comparison, as they change no component.
 
-Full sets are made once for each class that a candidate pair names, and written as packed 64-bit hashes; a hub's set is
-sent once to each block of its partners.
+Full sets are made once for each class that shares a bucket, and written as packed 64-bit hashes; a hub's set is sent
+once to each block of its partners. Tables written on the way are deleted at the end, but for that of the result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, looked_up, map_arrow, mix64, settings, table, words_of, written
+from .common import WordHashes, looked_up, map_arrow, mix64, scratch, table, words_of, written
 from .components import components
 
 ROWS, BANDS, BITS = 6, 40, 4
@@ -169,11 +169,8 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 part = r.slice(i, 200)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(x.as_py()).tobytes() for x in part.column("text")], pa.binary())], ["node", "set"])
 
-    # the classes wanted are far fewer than the documents: let Spark filter the texts by them before they are shuffled
-    few = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
-    with settings(docs.sparkSession, few):
-        found = docs.join(written(nodes, "wanted"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
-        return written(map_arrow(found, run, "node long, set binary"), "sets")
+    found = docs.join(nodes, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    return written(map_arrow(found, run, "node long, set binary"), "sets")
 
 
 def common_of(x: np.ndarray, y: np.ndarray) -> int:
@@ -265,36 +262,30 @@ def cell_pairs(most: int):  # noqa: ANN201
 
 
 class Search:
-    """The links between classes `reps` (node, doc_id, text_hash, signature, bands), and the components they make."""
+    """The links between classes `reps` (node, doc_id, text_hash, signature, bands), and the components they make.
+
+    Only classes that share a bucket with another one are looked at; their sets are made at once, so that texts move once.
+    """
 
     def __init__(self, reps: DataFrame, docs: DataFrame, size: int, percent: int):
-        self.reps, self.docs, self.size, self.percent = reps, docs, size, percent
+        self.percent = percent
         self.parts = max(16, int(reps.count() ** 0.5))
-        self.signature = reps.select("node", "signature")
-        self.sets: DataFrame | None = None
+        keys = reps.select("node", F.posexplode("bands").alias("band", "key"))
+        many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("many"))
+        self.keys = written(looked_up(keys, written(many, "many"), ["key"], "node").where("many").drop("many"), "keys")
+        wanted = written(self.keys.select("node").distinct().join(reps, "node").select("node", "doc_id", "text_hash", "signature"), "wanted")
+        self.signature = wanted.select("node", "signature")
+        self.sets = sets_of(wanted.drop("signature"), docs, size)
         self.edges: DataFrame | None = None
         self.comp: DataFrame | None = None
         self.tried: DataFrame | None = None
 
-    def keyed(self, bands: int) -> DataFrame:
-        """(node, comp, key): each class in the buckets of its first bands, with the label of its component so far."""
-        k = self.with_comp(self.reps.select("node", F.slice("bands", 1, bands).alias("bands"))).select("node", "comp", F.explode("bands").alias("key"))
-        return written(k, "keys")
-
     def with_comp(self, rows: DataFrame) -> DataFrame:
+        """`rows` (node, ...) with the label of the component so far."""
         if self.comp is None:
             return rows.withColumn("comp", F.col("node"))
         return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def with_sets(self, rows: DataFrame) -> DataFrame:
-        """`rows` (node, ...) with `set`; sets that no step has made yet are made."""
-        wanted = rows.select("node").distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        new = sets_of(wanted.join(self.reps.select("node", "doc_id", "text_hash"), "node"), self.docs, self.size)
-        self.sets = new if self.sets is None else self.sets.union(new)
-        return rows.join(self.sets, "node")
-
     def learn(self, found: DataFrame) -> None:
         new = written(found, "links")
         if not new.isEmpty():
@@ -303,7 +294,7 @@ class Search:
 
     def stars(self, bands: int) -> None:
         """Members of a bucket against the hub of their part, and the hubs of its parts against the bucket's."""
-        k = self.keyed(bands).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self.parts)).cast("int"))
+        k = self.with_comp(self.keys.where(F.col("band") < bands)).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self.parts)).cast("int"))
         hub = [F.min("comp").alias("least"), F.max("comp").alias("top"), F.min_by("node", "comp").alias("hub")]
         of_part = k.groupBy("key", "part").agg(*hub)
         inner = of_part.where("least < top").drop("top")
@@ -327,11 +318,11 @@ class Search:
         cell = [F.col("a").alias("c"), F.col("salt").alias("i"), F.lit(0).alias("j")]
         centre = near.select("a", "salt").distinct().join(hubs, ["a", "salt"]).select(*cell, F.lit(0).alias("side"), F.col("a").alias("node"), F.col("x").alias("signature"))
         around = near.select(*cell, F.lit(1).alias("side"), F.col("b").alias("node"), "signature")
-        self.learn(linked(self.with_sets(written(centre.union(around), "cells")), self.percent))
+        self.learn(linked(centre.union(around).join(self.sets, "node"), self.percent))
 
     def rest(self) -> None:
         """Buckets that hold several components still: their classes against each other by signature, in blocks, then by sets against whole components."""
-        k = self.keyed(BANDS)
+        k = self.with_comp(self.keys)
         mixed = k.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.count("*").alias("n")).where("least < top").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
         cells = k.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -341,7 +332,7 @@ class Search:
         asked = written(map_arrow(cells, cell_pairs(most_differing(self.percent)), "x long, other long").distinct(), "asked")
         if asked.isEmpty():
             return
-        member = self.with_comp(self.reps.select("node"))
+        member = self.with_comp(self.signature.select("node"))
         per = asked.groupBy(F.col("other").alias("comp")).agg(F.count("*").alias("n"))
         sizes = member.join(per, "comp").groupBy("comp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("ni"), F.ceil(F.first("n") / CELL).cast("int").alias("nj"))
         sizes = written(sizes, "sizes")
@@ -350,8 +341,8 @@ class Search:
         inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
         outside = asked.select(F.col("x").alias("node"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
         columns = [F.col("comp").alias("c"), "i", "j", "side", "node"]
-        both = written(inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node"), "cells")
-        self.learn(linked(self.with_sets(both), self.percent))
+        both = inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node").join(self.sets, "node")
+        self.learn(linked(both, self.percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,6 +356,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     and all rows that no link reaches. Rows without an id are linked with nothing, kept and chosen.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    with scratch(docs.sparkSession, keep=True):
+        return written(decided(docs, size, percent, id_col, text_col), "near-duplicates")
+
+
+def decided(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """As `near_duplicates`, read from tables that were written on the way."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     whole = written(signed(rows, size), "signed")
