@@ -92,6 +92,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Words of 64 bits of the filter below, a bound on what is broadcast (16 bytes each).
+FILTER_WORDS = 1 << 20
+
+
+def filtered(rows: DataFrame, keys: list[Column], wanted: DataFrame, flag: str) -> DataFrame:
+    """`rows` with a boolean column `flag`: false where `keys` surely equal no row of `wanted` (whose columns they stand for).
+
+    A Bloom filter of one hash and FILTER_WORDS words, whatever the size of `wanted`, made and read by joins. As `wanted`
+    grows the filter says true more often, which costs the caller's join work and changes nothing in its result.
+    """
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    hashed = wanted.select(F.xxhash64(*wanted.columns).alias("h"))
+    at, mask, h = (fresh(rows, f"{flag}_{x}") for x in ("word", "mask", "hash"))
+    made = hashed.groupBy(word(F.col("h")).alias(at)).agg(F.bit_or(bit(F.col("h"))).alias(mask))
+    out = rows.withColumn(h, F.xxhash64(*keys)).withColumn(at, word(F.col(h))).join(F.broadcast(made), at, "left")
+    hit = F.coalesce(F.col(mask).bitwiseAND(bit(F.col(h))) != 0, F.lit(False))
+    return out.withColumn(flag, hit).drop(h, at, mask)
+
+
 def looked_up(rows: DataFrame, found: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
     """`rows` left-joined with `found` (one row for each key `on`), where a key may hold any share of `rows`: each key is dealt over `salts` tasks by hash of the column `by`, and `found` is copied to them."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, looked_up, map_arrow, mix64, scratch, table, words_of, written
+from .common import WordHashes, filtered, looked_up, map_arrow, mix64, scratch, table, words_of, written
 from .components import components
 
 ROWS, BANDS, BITS = 6, 40, 4
@@ -37,7 +37,7 @@ LANES = 64 // BITS
 WORDS64 = HASHES // LANES
 FIRST_BANDS = 4
 #: Rows of a bucket that meet within one cell of the last step, and partners that one copy of a hub's set serves.
-CELL = 512
+CELL = 256
 #: Words whose hashes a worker remembers.
 KNOWN = 100_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -169,7 +169,9 @@ def sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 part = r.slice(i, 200)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(x.as_py()).tobytes() for x in part.column("text")], pa.binary())], ["node", "set"])
 
-    found = docs.join(nodes, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    key = ["doc_id", "text_hash"]
+    likely = filtered(docs, [F.col(c) for c in key], nodes.select(*key), "likely").where("likely").drop("likely")
+    found = likely.join(nodes, key).select("node", "text").dropDuplicates(["node"])
     return written(map_arrow(found, run, "node long, set binary"), "sets")
 
 
@@ -267,12 +269,14 @@ class Search:
     Only classes that share a bucket with another one are looked at; their sets are made at once, so that texts move once.
     """
 
-    def __init__(self, reps: DataFrame, docs: DataFrame, size: int, percent: int):
+    def __init__(self, reps: DataFrame, n_reps: int, docs: DataFrame, size: int, percent: int):
         self.percent = percent
-        self.parts = max(16, int(reps.count() ** 0.5))
+        self.parts = max(16, int(n_reps**0.5))
         keys = reps.select("node", F.posexplode("bands").alias("band", "key"))
         many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("many"))
-        self.keys = written(looked_up(keys, written(many, "many"), ["key"], "node").where("many").drop("many"), "keys")
+        many = written(many, "many")
+        likely = filtered(keys, [F.col("key")], many.select("key"), "likely").where("likely").drop("likely")
+        self.keys = written(looked_up(likely, many, ["key"], "node").where("many").drop("many"), "keys")
         wanted = written(self.keys.select("node").distinct().join(reps, "node").select("node", "doc_id", "text_hash", "signature"), "wanted")
         self.signature = wanted.select("node", "signature")
         self.sets = sets_of(wanted.drop("signature"), docs, size)
@@ -286,8 +290,11 @@ class Search:
             return rows.withColumn("comp", F.col("node"))
         return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def learn(self, found: DataFrame) -> None:
-        new = written(found, "links")
+    def learn(self, cells: DataFrame) -> None:
+        """Takes in the links found in cells (c, i, j, side, node, signature)."""
+        cells = written(cells, "cells")
+        sets = filtered(self.sets, [F.col("node")], cells.select("node").distinct(), "likely").where("likely").drop("likely")
+        new = written(linked(cells.join(sets, "node"), self.percent), "links")
         if not new.isEmpty():
             self.edges = new if self.edges is None else self.edges.union(new)
             self.comp = components(self.edges)
@@ -318,7 +325,7 @@ class Search:
         cell = [F.col("a").alias("c"), F.col("salt").alias("i"), F.lit(0).alias("j")]
         centre = near.select("a", "salt").distinct().join(hubs, ["a", "salt"]).select(*cell, F.lit(0).alias("side"), F.col("a").alias("node"), F.col("x").alias("signature"))
         around = near.select(*cell, F.lit(1).alias("side"), F.col("b").alias("node"), "signature")
-        self.learn(linked(centre.union(around).join(self.sets, "node"), self.percent))
+        self.learn(centre.union(around))
 
     def rest(self) -> None:
         """Buckets that hold several components still: their classes against each other by signature, in blocks, then by sets against whole components."""
@@ -341,8 +348,7 @@ class Search:
         inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
         outside = asked.select(F.col("x").alias("node"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
         columns = [F.col("comp").alias("c"), "i", "j", "side", "node"]
-        both = inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node").join(self.sets, "node")
-        self.learn(linked(both, self.percent))
+        self.learn(inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,8 +375,12 @@ def decided(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     first = F.min(F.struct("doc_id", "row", "text_hash")).alias("first")
     classes = whole.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(first, F.count("*").alias("n"))
     classes = written(classes.select(*key, F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("first_text"), "n"), "classes")
-    reps = classes.select("node").join(whole.withColumnRenamed("row", "node"), "node").select("node", "doc_id", "text_hash", "signature", "bands")
-    search = Search(written(reps, "reps"), rows, size, percent)
+    # rows that stand for their class; signatures and bands are heavy, so only rows that may be copies are joined
+    worded = whole.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("row", "node")
+    copies = written(worded.select("node").join(classes.select("node"), "node", "left_anti"), "copies")
+    sifted = filtered(worded, [F.col("node")], copies, "likely")
+    reps = sifted.where("not likely").union(sifted.where("likely").join(copies, "node", "left_anti").select(*sifted.columns))
+    search = Search(reps.select("node", "doc_id", "text_hash", "signature", "bands"), classes.count(), rows, size, percent)
     search.stars(FIRST_BANDS)
     search.stars(BANDS)
     search.rest()
