@@ -93,7 +93,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Words of 64 bits of the filter below, a bound on what is broadcast (16 bytes each).
-FILTER_WORDS = 1 << 20
+FILTER_WORDS = 1 << 18
 
 
 def filtered(rows: DataFrame, keys: list[Column], wanted: DataFrame, flag: str) -> DataFrame:

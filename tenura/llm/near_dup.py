@@ -341,12 +341,13 @@ class Search:
             return
         member = self.with_comp(self.signature.select("node"))
         per = asked.groupBy(F.col("other").alias("comp")).agg(F.count("*").alias("n"))
-        sizes = member.join(per, "comp").groupBy("comp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("ni"), F.ceil(F.first("n") / CELL).cast("int").alias("nj"))
+        held = member.groupBy("comp").agg(F.count("*").alias("m"))  # counted before it is joined: a component may be giant
+        sizes = held.join(per, "comp").select("comp", F.ceil(F.col("m") / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
         sizes = written(sizes, "sizes")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         some = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-        inside = member.join(sizes, "comp").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
-        outside = asked.select(F.col("x").alias("node"), F.col("other").alias("comp")).join(sizes, "comp").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
+        inside = looked_up(member, sizes, ["comp"], "node").where("ni is not null").withColumn("i", some("ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0))
+        outside = looked_up(asked.select(F.col("x").alias("node"), F.col("other").alias("comp")), sizes, ["comp"], "node").withColumn("i", every("ni")).withColumn("j", some("nj")).withColumn("side", F.lit(1))
         columns = [F.col("comp").alias("c"), "i", "j", "side", "node"]
         self.learn(inside.select(*columns).union(outside.select(*columns)).join(self.signature, "node"))
 
