@@ -26,7 +26,7 @@ from tenura.llm.quality import FEATURES, fit_quality, keep_quality, score_qualit
 from tenura.llm.secrets import base_spans, redact, scan
 from tenura.llm.sentence_pieces import decode, encode
 from tenura.llm.token_counts import BYTE_LEVEL, count_tokens, load_spec, merger
-from tenura.llm.toxicity import fit_toxicity, label_model, score_toxicity
+from tenura.llm.toxicity import Voters, fit_toxicity, label_model, op10_toxicity, score_toxicity
 
 P = pytest.importorskip("public_tokenizers")
 BPE, SP = str(P.path("byte_bpe_50k.json")), str(P.path("piece_bpe_32k.model"))
@@ -398,9 +398,36 @@ def test_label_model_trusts_accurate_voters():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.2
     votes = np.column_stack([y & (rng.random(4000) < 0.6), y & (rng.random(4000) < 0.5), y & (rng.random(4000) < 0.5)]).astype(float)
-    q = label_model(votes)
+    q = label_model(np.column_stack([votes, votes.sum(1) == 0, np.zeros(4000)]))
     assert q[votes.sum(1) >= 1].min() > 0.5 and q[votes.sum(1) == 0].max() < 0.5
 
 
+def test_label_model_counts_repeating_voters_once():
+    """Five copies of one voter say no more than one of them."""
+    rng = np.random.default_rng(4)
+    y = rng.random(6000) < 0.3
+    good = [np.where(y, rng.random(6000) < 0.8, rng.random(6000) < 0.05) for _ in range(3)]
+    noisy = np.where(y, rng.random(6000) < 0.5, rng.random(6000) < 0.1)
+
+    def posterior(*voters):
+        v = np.column_stack(voters).astype(float)
+        return label_model(np.column_stack([v, v.sum(1) == 0, np.zeros(6000)]))
+
+    assert np.abs(posterior(*good, *[noisy] * 5) - posterior(*good, noisy)).max() < 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_held_out_toxic_texts_are_found(spark):
+    truth = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
+    found = op10_toxicity(spark, DATA).where("held_out").join(truth, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
+
+
+def test_pattern_votes_without_its_words_in_the_lexicon():
+    votes, _ = Voters(["zzz"], []).look("You are such an idiot")
+    assert votes[1] == 1 and not votes[-2:].any()
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0
