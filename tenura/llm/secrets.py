@@ -1,9 +1,10 @@
 """Secret scans: three fixed patterns, and a character convolutional network over every candidate.
 
-A candidate is each match of a fixed pattern and each run of 16 or more characters of keys (`RUN`) that holds a digit.
-The network (char_cnn.py) scores every candidate within its surroundings. Matches of the fixed patterns are findings
-whatever their score; other candidates are findings of kind `model` if their calibrated score reaches the threshold
-that keeps the wanted recall on labelled findings, and if they touch no match of a fixed pattern.
+A candidate is each match of a fixed pattern and each run of 16 or more characters of keys (`RUN`) but those that lie
+within such a match. The network (char_cnn.py) scores every candidate within its surroundings. Matches of the fixed
+patterns are findings whatever their score; runs are findings of kind `model` if their calibrated score reaches the
+threshold that keeps the wanted recall on labelled findings, so a key that a fixed pattern finds only a part of is
+found whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -41,10 +41,16 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """All candidates (start, kind, end): the fixed patterns' matches, then runs with a digit that touch none of them."""
+    """All candidates (start, kind, end): the fixed patterns' matches, then runs that are not within one of them."""
     runs = [m.span() for m in RUN.finditer(text)]
     base = base_spans(text, runs)
-    return base + [(a, 3, b) for a, b in runs if DIGIT.search(text, a, b) and not any(s < b and a < e for s, _, e in base)]
+    rest, reach, k = [], 0, 0
+    for a, b in runs:  # one sweep: the furthest end of the matches that begin no later than the run
+        while k < len(base) and base[k][0] <= a:
+            reach, k = max(reach, base[k][2]), k + 1
+        if reach < b:
+            rest.append((a, 3, b))
+    return base + rest
 
 
 def scan_batch(texts: list[str], net: CharCnn, block: int = 4096) -> list[list[tuple[int, int, int, float]]]:
@@ -70,8 +76,8 @@ def scan_batch(texts: list[str], net: CharCnn, block: int = 4096) -> list[list[t
             owner += [len(held)] * len(seen)
             held.append((i, span))
             rows += seen
-        if len(rows) >= block:
-            flush()
+            if len(rows) >= block:
+                flush()
     flush()
     return [sorted(f) for f in found]
 
