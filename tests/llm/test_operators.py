@@ -94,11 +94,11 @@ def test_secret_network_finds_what_no_pattern_does():
     base = np.array([any(k < 3 for _, k, _, _ in f) for f in spans])
     y = np.array([y for *_, y in found])
     assert hit[(y == 1) & ~base].mean() > 0.9 and hit[y == 0].mean() < 0.05
-    letters = "the auth = aBcDeFgHiJkLmNoPqRsTuVwXyZqWmK and more"
-    assert [f[:3] for f in scan_batch([letters], default_cnn())[0]] == [(11, 3, 39)]
-    part = "client_key: sk_" + "0123456789abcdef01234567" + "XyZ9QwErTy8UiOp end"
-    whole = scan_batch([part], default_cnn())[0]
-    assert (12, 3, 54) in [f[:3] for f in whole] and any(k == 2 for _, k, _, _ in whole)
+    letters = "aBcDeFgHiJkLmNoPqRsTuVwXyZqWmK"
+    assert [f[:3] for f in scan_batch([f"the auth = {letters} and more"], default_cnn())[0]] == [(11, 3, 11 + len(letters))]
+    part = "sk_" + "0123456789abcdef01234567" + "XyZ9QwErTy8UiOp"
+    whole = scan_batch([f"client_key: {part} end"], default_cnn())[0]
+    assert (12, 3, 12 + len(part)) in [f[:3] for f in whole] and any(k == 2 for _, k, _, _ in whole)
 
 
 def test_candidates_take_linear_time():
