@@ -103,7 +103,3 @@ def advert_text(title: Column, company: Column, description: Column, most: int =
     """Title twice, company, start of the description, joined by ' . ' and without empty parts."""
     t, d = F.nullif(trimmed(title), F.lit("")), F.nullif(trimmed(description), F.lit(""))
     return F.concat_ws(" . ", t, t, F.nullif(blank_if_null(company), F.lit("")), F.substring(d, 1, most))
-
-
-def title_case(s: str) -> str:
-    return s.title()

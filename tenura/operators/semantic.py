@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -45,8 +44,8 @@ def ranked_terms(scores: DataFrame, n: int = 50) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def keywords(scores: DataFrame, n: int = 8, considered: int = 200) -> DataFrame:
-    """(cluster, keywords): the best terms, none of which contains or is contained in one taken before."""
+def keywords(scores: DataFrame, n: int = 8, considered: int = 40_000) -> DataFrame:
+    """(cluster, keywords): the best terms, none of which contains or is contained in one taken before; all terms of the vocabulary are looked at."""
     listed = ranked_terms(scores, considered).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
 
     def take(kept: Column, term: Column) -> Column:
@@ -60,18 +59,20 @@ def title_counts(rows: DataFrame, group: str, title: str) -> DataFrame:
     return rows.select(F.col(group).alias("cluster"), clean_title(F.col(title)).alias("title")).where("title <> ''").groupBy("cluster", "title").agg(F.count("*").alias("n"))
 
 
-def assign_names(sizes: DataFrame, titles: DataFrame, words: DataFrame, shown: int = 50) -> dict:
+def assign_names(sizes: DataFrame, titles: DataFrame, words: DataFrame) -> dict:
     """Names of clusters, of which there are at most some dozens: the largest first, each takes its most frequent title
-    that no other has and that occurs twice, or else its first two keywords."""
+    that no other has and that occurs twice, or else its first two keywords. As fewer titles are taken than there are
+    clusters, each cluster needs no more than that many of its own."""
+    listed_sizes = sizes.collect()
     w = Window.partitionBy("cluster").orderBy(F.desc("n"), "title")
-    best = titles.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= shown)
+    best = titles.where("n >= 2").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= len(listed_sizes))
     listed = {r["cluster"]: sorted(r["t"], key=lambda t: (-t["n"], t["title"])) for r in best.groupBy("cluster").agg(F.collect_list(F.struct("n", "title")).alias("t")).collect()}
     words_of = {r["cluster"]: [k for k in r["keywords"] if k not in STOP_WORDS] for r in words.collect()}
     taken: set[str] = set()
     names = {}
-    for r in sorted(sizes.collect(), key=lambda r: (-r["size"], str(r["cluster"]))):
+    for r in sorted(listed_sizes, key=lambda r: (-r["size"], str(r["cluster"]))):
         c = r["cluster"]
-        pick = next((t["title"] for t in listed.get(c, []) if t["n"] >= 2 and t["title"] not in taken), None)
+        pick = next((t["title"] for t in listed.get(c, []) if t["title"] not in taken), None)
         if pick:
             taken.add(pick)
         else:
@@ -118,13 +119,26 @@ def cluster(rows: DataFrame, id_col: str, ks: range = range(6, 17), starts: int
     return best[1], spark.createDataFrame(scores, "k int, silhouette double")
 
 
+def every_nth(rows: DataFrame, id_col: str, step: int) -> DataFrame:
+    """The first row by id and each `step`-th after it. Rows are sorted over partitions; only their sizes come to the driver."""
+    if step <= 1:
+        return rows
+    dealt = rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    begin, before = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        begin.append(before)
+        before += sizes.get(p, 0)
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.get(F.array(*map(F.lit, begin or [0])), F.col("_part"))
+    return dealt.where(place % step == 0).drop("_part", "_at")
+
+
 def embedding_map(rows: DataFrame, id_col: str, step: int) -> DataFrame:
     """(id, x, y): every `step`-th row by id, in two components scaled by the 99th percentile of their absolute values."""
     flat = reduced(rows, 2).select(F.col(id_col).alias("id"), vector_to_array("reduced").alias("v"))
     lim = flat.select(F.explode("v").alias("c")).agg(F.percentile(F.abs("c"), 0.99).alias("lim"))
-    numbered = flat.withColumn("rn", F.row_number().over(Window.orderBy("id"))).where((F.col("rn") - 1) % step == 0).crossJoin(F.broadcast(lim))
     scale = F.when(F.col("lim") > 0, F.col("lim")).otherwise(1.0)
-    return numbered.select("id", F.round(F.col("v")[0] / scale, 4).alias("x"), F.round(F.col("v")[1] / scale, 4).alias("y"))
+    return every_nth(flat, "id", step).crossJoin(F.broadcast(lim)).select("id", F.round(F.col("v")[0] / scale, 4).alias("x"), F.round(F.col("v")[1] / scale, 4).alias("y"))
 
 
 def _classifier(train: DataFrame, c: float) -> LogisticRegression:
@@ -144,11 +158,11 @@ def rescue(rows: DataFrame, id_col: str, category: str, min_class: int = 20, thr
     classes = sorted(r["category"] for r in sizes.select("category").collect())  # classes are few
     spark = rows.sparkSession
     if len(classes) < 2:
-        empty = spark.createDataFrame([], "id long, category string, predicted string")
-        return empty, spark.createDataFrame([], "id long, label string, confidence double"), spark.createDataFrame([(0.0, 0.0, 0, 0, 0)], "macro_f1 double, accuracy double, n_train int, n_other int, n_rescued int")
+        none = named.where("false")
+        return none.select("id", "category", F.lit("").alias("predicted")), none.select("id", F.lit("").alias("label"), F.lit(0.0).alias("confidence")), spark.createDataFrame([(0.0, 0.0, 0, 0, 0)], "macro_f1 double, accuracy double, n_train int, n_other int, n_rescued int")
     index = spark.createDataFrame([(n, float(i)) for i, n in enumerate(classes)], "category string, y double")
     train = named.where("not open").join(F.broadcast(index), "category").join(F.broadcast(sizes), "category")
-    total = F.count("*").over(Window.partitionBy())
+    total = F.lit(sizes.agg(F.sum("k")).head()[0])
     train = train.withColumns({"weight": total / (F.lit(len(classes)) * F.col("k")), "fold": (F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("id", F.lit(SEED)), "id")) - 1) % folds}).cache()
     label = lambda i: F.get(F.array(*map(F.lit, classes)), i.cast("int"))
     parts = [_classifier(train.where(F.col("fold") != f), c).fit(train.where(F.col("fold") != f)).transform(train.where(F.col("fold") == f)) for f in range(folds)]
@@ -171,7 +185,3 @@ def class_metrics(oof: DataFrame) -> DataFrame:
     both = true.join(said, "label", "left")
     p, r = F.coalesce(F.try_divide(F.col("hit").cast("double"), "said"), F.lit(0.0)), F.col("hit") / F.col("support")
     return both.select("label", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), "support")
-
-
-def finite(x: float) -> float | None:
-    return x if math.isfinite(x) else None

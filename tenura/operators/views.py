@@ -28,3 +28,24 @@ def bars(rows: DataFrame, value: str, n: int = 10) -> DataFrame:
 def middle(rows: DataFrame, value: str, descending: bool = False) -> DataFrame:
     """The value at place n/2 of the sorted list: of even counts, the upper one ascending and the lower one descending."""
     return rows.agg(F.get(F.sort_array(F.collect_list(value), asc=not descending), F.floor(F.count(value) / 2).cast("int")).alias("middle"))
+
+
+def by_share(index: DataFrame) -> DataFrame:
+    """Skills by last share, the largest first."""
+    return index.orderBy(F.desc("last_share"), "skill")
+
+
+def by_summed_share(series: DataFrame) -> DataFrame:
+    """A composition's values by the sum of their shares, the largest first; months in order within each."""
+    total = F.round(F.sum("share").over(Window.partitionBy("value")), 9)
+    return series.withColumn("all_shares", total).orderBy(F.desc("all_shares"), "value", "month").drop("all_shares")
+
+
+def by_rmst(clusters: DataFrame) -> DataFrame:
+    """Clusters by restricted mean, the longest first; the larger of equals first."""
+    return clusters.orderBy(F.desc("rmst"), F.desc("n"), "cluster")
+
+
+def at_grace(sensitivity: DataFrame, grace: int = 1) -> DataFrame:
+    """The row of one grace period, as pages compare it with the chosen one."""
+    return sensitivity.where(F.col("grace") == grace)

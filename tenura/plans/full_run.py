@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import math
+import os
 import sys
 import time
 from datetime import UTC, date, datetime
@@ -21,12 +22,19 @@ from ..operators import panel as pn
 from ..operators import semantic as sem
 from ..operators import survival as sv
 from ..operators import trends as tr
+from ..operators import views as vw
+from ..sources.cache import encoded
+from ..sources.encoder import Encoder, hashed_words
 from ..sources.session import ship
 from ..sources.sqlite import read_panel
 
 # Names that a provider table is asked for.
 PROVIDERS = ["OpenAI", "Anthropic", "Google AI", "Microsoft Copilot", "AWS Bedrock", "Meta Llama", "Mistral", "Other frontier"]
 SENSITIVITY = (1, 7, 14, 21)
+#: Where a panel is looked for if none is named.
+PANELS = ("data/jobs.db", "panel.db", "../data/jobs.db")
+#: Points of the map, about.
+MAP_POINTS = 1400
 
 
 class Run:
@@ -35,6 +43,8 @@ class Run:
     def __init__(self, runs: DataFrame, jobs: DataFrame, grace: int = 21, mode: str = "vacancy", quick: bool = False):
         self.spark = jobs.sparkSession
         ship(self.spark)
+        #: (key, group) once clusters have names; until then groups are categories.
+        self.named: DataFrame | None = None
         self.grace, self.quick = grace, quick
         self.source_runs, self.jobs, self.mode = runs, jobs, mode
 
@@ -95,34 +105,41 @@ class Run:
     def index(self) -> DataFrame:
         return mk.skill_index(self.relevant[0]).cache()
 
+    @property
+    def group_names(self) -> DataFrame:
+        if self.named is not None:
+            return self.named
+        return self.identity.where("category <> ''").select("key", F.col("category").alias("group"))
+
     def sections(self) -> dict[str, DataFrame]:
         kept, counts, dropped = self.relevant
+        mentions = mk.skill_index(kept, "mentions").cache()
         trends = tr.skill_trends(self.adverts, self.runs).cache()
-        groups = self.analysis.withColumn("group", F.when(F.col("category") == "", "Other").otherwise(F.col("category")))
+        groups = tr.spell_groups(self.analysis, self.group_names, "Other")
         one = F.lit("all").alias("all")
         survival = sv.km_curve(self.analysis.select("*", one), ["all"])
         return {
             "panel": pn.panel_meta(self.seen, self.every_grace.where(F.col("grace") == self.grace), self.runs).crossJoin(self.split[1]),
             "detection": det.overall(self.curve).crossJoin(self.markov),
-            "detection_by_age": det.detection_binned(self.curve),
-            "grace_table": det.grace_table(self.curve, self.markov),
-            "survival_overall": survival.drop("all"),
+            "detection_by_age": det.detection_binned(self.curve).orderBy("age_from"),
+            "grace_table": det.grace_table(self.curve, self.markov).orderBy("grace_days"),
+            "survival_overall": survival.drop("all").orderBy("t"),
             "survival_summary": sv.km_summary(survival, ["all"]).drop("all"),
-            "grace_sensitivity": sv.grace_sensitivity(self.every_grace, self.markov),
+            "grace_sensitivity": sv.grace_sensitivity(self.every_grace, self.markov).orderBy("grace"),
             "relevance_filter": counts,
             "dropped_employers": mk.top_dropped(dropped),
-            "skill_index_adverts": self.index,
-            "skill_index_mentions": mk.skill_index(kept, "mentions"),
-            "rank_movement": mk.rank_movement(self.index),
-            "cooccurrence": mk.cooccurrence(kept, mk.top_skills(self.index)),
-            **{f"composition_{f}": mk.composition(kept, f) for f in ("seniority", "remote", "sector")},
+            "skill_index_adverts": vw.by_share(self.index),
+            "skill_index_mentions": vw.by_share(mentions),
+            "rank_movement": mk.rank_movement(mentions).orderBy("rank_last"),
+            "cooccurrence": mk.cooccurrence(kept, mk.top_skills(mentions)),
+            **{f"composition_{f}": vw.by_summed_share(mk.composition(kept, f)) for f in ("seniority", "remote", "sector")},
             "employers": mk.top_employers(kept),
-            "specificity": mk.specificity(kept),
-            "providers": mk.provider_shares(kept, PROVIDERS),
-            "weekly": tr.weekly_series(groups, self.runs),
-            "skills": trends,
-            "skill_slopes": tr.trend_slopes(trends),
-            "longest": pn.longest(self.spells).select(F.substring("title", 1, 80).alias("title"), F.substring("company", 1, 45).alias("company"), F.col("duration").alias("days"), "sightings", F.col("right_censored").alias("censored"), "urls"),
+            "specificity": mk.specificity(kept).orderBy("month"),
+            "providers": mk.provider_shares(kept, PROVIDERS).orderBy(F.desc("last_share"), "provider"),
+            "weekly": tr.weekly_series(groups, self.runs).orderBy("group", "week"),
+            "skills": trends.orderBy("skill", "ord"),
+            "skill_slopes": tr.trend_slopes(trends).orderBy("skill"),
+            "longest": pn.longest(tr.spell_groups(self.analysis, self.group_names, "")).select(F.col("group").alias("cluster"), F.substring("title", 1, 80).alias("title"), F.substring("company", 1, 45).alias("company"), F.col("duration").alias("days"), "sightings", F.col("right_censored").alias("censored"), "urls"),
         }
 
     def calibration(self, n_sim: int | None = None) -> DataFrame:
@@ -134,29 +151,44 @@ class Run:
         seeds = (42,) if self.quick else cal.SEEDS
         return cal.calibrate(self.spark, {k: float(moments[k]) for k in cal.WEIGHTS}, ages, float(self.markov.head()["p_stay_visible"]), n, self.grace, seeds, n_sim or (4000 if self.quick else 6000))
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """The longest spell of each key."""
+        return pn.representative(self.spells).cache()
+
     def texts(self) -> DataFrame:
         """(key, text) of the longest spell of each key, for an encoder."""
-        best = pn.representative(self.spells.select("grace", "key", "spell_no", "duration", "title", "company", "description"))
-        return best.select("key", advert_text(F.col("title"), F.col("company"), F.col("description")).alias("text"))
+        return self.best.select("key", advert_text(F.col("title"), F.col("company"), F.col("description")).alias("text"))
+
+    def vectors(self, cache: str, encode: Encoder | None = None, model: str = "hashed-words-256") -> DataFrame:
+        """(key, embedding) of all keys; only texts that the folder `cache` has not seen under that model are encoded."""
+        return encoded(self.texts(), "text", cache, model, encode or hashed_words()).select("key", "embedding")
 
     def semantic(self, vectors: DataFrame, ks: range = range(6, 17), starts: int = 10) -> dict[str, DataFrame]:
-        """Sections that need `vectors` (key, embedding): clusters, their survival, and the rescue of unlabelled adverts."""
-        rows = sem.as_vectors(vectors.join(self.identity, "key"))
-        assigned, scores = sem.cluster(rows, "key", ks, starts)
+        """Sections that need `vectors` (key, embedding): clusters, their survival, the rescue of unlabelled adverts, and a map.
+
+        From then on spells are grouped by their cluster's name.
+        """
+        rows = sem.as_vectors(vectors.join(self.identity, "key")).cache()
+        n = rows.count()
+        assigned, scores = sem.cluster(rows, "key", range(ks.start, max(ks.start + 1, min(ks.stop, n))), starts)
         placed = assigned.select(F.col("id").alias("key"), "cluster").cache()
-        texts = self.texts().join(placed, "key")
-        words = sem.keywords(sem.ctfidf_scores(texts, "cluster", "text"))
-        sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"))
-        titles = sem.title_counts(self.identity.join(placed, "key"), "cluster", "title")
-        names = self.spark.createDataFrame(sorted(sem.assign_names(sizes, titles, words).items()), "cluster int, name string")
+        words = sem.keywords(sem.ctfidf_scores(self.texts().join(placed, "key"), "cluster", "text", pattern=sem.WHOLE_TERM)).cache()
+        sizes = placed.groupBy("cluster").agg(F.count("*").alias("size")).cache()
+        titles = sem.title_counts(self.best.join(placed, "key"), "cluster", "title")
+        names = self.spark.createDataFrame(sorted(sem.assign_names(sizes, titles, words).items()), "cluster int, name string").cache()
+        self.named = placed.join(F.broadcast(names), "cluster").select("key", F.col("name").alias("group"))
         oof, rescued, metrics = sem.rescue(rows, "key", "category")
+        points = sem.embedding_map(rows, "key", max(1, n // MAP_POINTS)).withColumnRenamed("id", "key")
+        about = self.best.select("key", F.substring("title", 1, 70).alias("title"), F.substring("company", 1, 40).alias("company"), F.col("duration").alias("days"))
         return {
-            "silhouette_by_k": scores,
-            "clusters": sizes.join(names, "cluster").join(words, "cluster", "left"),
-            "survival_by_cluster": sv.by_cluster(self.analysis, placed),
-            "classifier": metrics,
-            "per_class": sem.class_metrics(oof),
-            "rescued_breakdown": rescued.groupBy("label").agg(F.count("*").alias("n")),
+            "silhouette_by_k": scores.orderBy("k"),
+            "clusters": sizes.join(names, "cluster").join(words, "cluster", "left").orderBy(F.desc("size"), "cluster"),
+            "survival_by_cluster": vw.by_rmst(sv.by_cluster(self.analysis, placed).join(names, "cluster")),
+            "classifier": metrics.withColumn("rescue_rate", F.coalesce(F.try_divide(F.col("n_rescued").cast("double"), "n_other"), F.lit(0.0))),
+            "per_class": sem.class_metrics(oof).orderBy("label"),
+            "rescued_breakdown": rescued.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label"),
+            "map": points.join(placed, "key").join(about, "key").orderBy("key").drop("key"),
         }
 
 
@@ -176,19 +208,34 @@ def document(run: Run, more: dict[str, DataFrame] | None = None) -> dict:
     return out
 
 
+def panel_path(named: str | None) -> str | None:
+    """The panel that was named, or the first of the usual places; none if it does not exist. Paths of other file systems are taken as they are."""
+    if named and "://" in named:
+        return named
+    return next((p for p in ((named,) if named else PANELS) if os.path.exists(p)), None)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description="Analyses a panel of adverts and writes a JSON document.")
-    p.add_argument("--db", required=True, help="SQLite file, or folder of Parquet tables with --format parquet")
+    p.add_argument("--db", help="SQLite file, or folder of Parquet tables with --format parquet; else the first that exists of " + ", ".join(PANELS))
     p.add_argument("--format", default="sqlite", choices=["sqlite", "parquet"])
     p.add_argument("--out", required=True)
     p.add_argument("--grace", type=int, default=21)
     p.add_argument("--key", default="vacancy", choices=["vacancy", "url"])
     p.add_argument("--quick", action="store_true", help="one calibration seed, fewer lives")
     p.add_argument("--no-calibration", action="store_true")
+    p.add_argument("--cache", help="folder that keeps encoded texts, shared by all machines; without it no text is encoded, and groups are categories")
     args = p.parse_args(argv)
+    db = panel_path(args.db)
+    if db is None:
+        print(f"no panel at {args.db or ' or '.join(PANELS)}", file=sys.stderr)
+        return 2
     spark = SparkSession.builder.getOrCreate()
-    run = Run(*read_panel(spark, args.db, args.format), args.grace, args.key, args.quick)
-    more = {} if args.no_calibration else {"calibration": run.calibration()}
+    run = Run(*read_panel(spark, db, args.format), args.grace, args.key, args.quick)
+    more = run.semantic(run.vectors(args.cache)) if args.cache else {}
+    if not args.no_calibration:
+        fits = run.calibration().cache()
+        more |= {"calibration": fits.orderBy("loss", "seed"), "calibration_spread": cal.seed_spread(fits).orderBy("what")}
     found = document(run, more)
     with open(args.out, "w", encoding="utf-8") as f:
         json.dump(found, f, indent=1, ensure_ascii=False)

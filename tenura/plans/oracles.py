@@ -144,9 +144,22 @@ two AS (SELECT x.skill AS a, y.skill AS b, count(*) AS n2 FROM ex x JOIN ex y ON
     o["both_bases"] = with_(both + "," + second, "SELECT skill, round(m.last_share, 6) AS mention_share, round(m.change_pp, 6) AS mention_change, round(a.last_share, 6) AS advert_share, round(a.change_pp, 6) AS advert_change, round((a.first_share - a.last_share) / nullif(a.first_share, 0), 6) AS relative_drop FROM ment m LEFT JOIN adv_ca a USING (skill)")
     o["employer_bars"] = with_(ADVERTS, "SELECT company, vacancies, round(vacancies / CAST(max(vacancies) OVER () AS DOUBLE), 6) AS width FROM (SELECT company, count(*) AS vacancies FROM adverts WHERE trim(company) <> '' GROUP BY company HAVING count(*) >= 4 ORDER BY vacancies DESC, company LIMIT 10)")
     o["middle_rmst"] = with_(TYPED + km("typed", "event_type") + km_summary("event_type"), "SELECT round(list_sort(list(rmst))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS middle FROM kms")
+    o["middle_rmst_descending"] = o["middle_rmst"].replace("list_sort(list(rmst))", "list_reverse_sort(list(rmst))")
+    o["sensitivity_at_one"] = o["grace_sensitivity"] + " WHERE grace = 1"
+    clustered = SPELLS + ",\ntyped AS (SELECT *, CAST(split_part(key, '|', 1) AS BIGINT) % 4 AS event_type FROM spells WHERE grace = 3)"
+    tests = LOGRANK[: LOGRANK.index("\nSELECT")]
+    o["survival_by_cluster"] = f"""WITH {clustered}{km("typed", "event_type")}{km_summary("event_type")}{tests},
+    sized AS (SELECT event_type, count(*) AS n FROM typed WHERE NOT left_censored GROUP BY ALL HAVING count(*) >= 40),
+    tested AS (SELECT event_type, CASE WHEN variance > 0 THEN pow(observed - expected, 2) / variance ELSE 0 END AS chi2 FROM lr)
+    SELECT CAST(event_type AS INTEGER) AS cluster, n, median, {r("rmst")}, {r("chi2")}, round({chi2_tail_sql("chi2")}, 6) AS p FROM sized JOIN kms USING (event_type) JOIN tested USING (event_type)"""
+    o["unit_vectors"] = """SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS total, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS squares
+    FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id + 1)) AS v FROM embeddings))"""
+    o["systematic_sample"] = "SELECT vec_id FROM embeddings QUALIFY (row_number() OVER (ORDER BY vec_id) - 1) % 3 = 0"
+    o["series_order"] = f"SELECT value, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, value) AS INTEGER) AS place FROM (SELECT value, sum(share) AS s FROM ({o['composition_sector'].replace('round(coalesce(n, 0) / CAST(total AS DOUBLE), 6)', 'coalesce(n, 0) / CAST(total AS DOUBLE)')}) GROUP BY value)"
     names = ", ".join(map(text, PROVIDERS))
     o["provider_shares"] = with_(ADVERTS + ",\nmt AS (SELECT month, count(*) AS total FROM adverts WHERE described GROUP BY month HAVING count(*) >= 60),\npn AS (SELECT skill AS provider, month, count(*) AS n FROM (SELECT month, unnest(skills) AS skill FROM adverts WHERE described) JOIN mt USING (month) GROUP BY ALL)",
         f"SELECT provider, round(coalesce(max(n / CAST(total AS DOUBLE)) FILTER (month = (SELECT min(month) FROM mt)), 0), 6) AS first_share, round(coalesce(max(n / CAST(total AS DOUBLE)) FILTER (month = (SELECT max(month) FROM mt)), 0), 6) AS last_share, CAST(sum(n) AS BIGINT) AS vacancies FROM pn JOIN mt USING (month) WHERE provider IN ({names}) GROUP BY provider")
+    o["provider_order"] = f"SELECT provider, CAST(row_number() OVER (ORDER BY last_share DESC, provider) AS INTEGER) AS place FROM ({o['provider_shares'].replace(', 6) AS last_share', ', 9) AS last_share')})"
     relevant = f"(lower(trim(p_type)) IN ({', '.join(map(text, AI_CATEGORIES))}) OR regexp_matches(p_name, {text(AI_TERMS)}) OR p_size > 10)"
     o["relevance_filter"] = f"SELECT count(*) AS n_in, count(*) FILTER ({relevant}) AS n_kept, count(*) FILTER (NOT {relevant}) AS n_dropped, round(avg(CASE WHEN {relevant} THEN 0e0 ELSE 1e0 END), 6) AS dropped_share FROM part"
     o["dropped_employers"] = f"SELECT p_brand AS company, count(*) AS n FROM part WHERE NOT {relevant} GROUP BY p_brand ORDER BY n DESC, company LIMIT 10"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import advert_text, is_placeholder, is_relevant, normalise_company, normalise_title
@@ -16,6 +16,7 @@ from ..operators import semantic as sem
 from ..operators import survival as sv
 from ..operators import trends as tr
 from ..operators import views as vw
+from ..sources.encoder import unit
 from ..sources.adapters import PROVIDERS, adverts, event_runs, event_sightings, table
 
 GRACES = (1, 3, 7)
@@ -162,13 +163,13 @@ def ctfidf_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ctfidf_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return sem.keywords(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", pattern=sem.WHOLE_TERM), considered=40_000)
+    return sem.keywords(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", pattern=sem.WHOLE_TERM), n=8)
 
 
 def cluster_names(spark: SparkSession, d: str) -> DataFrame:
     titles = sem.title_counts(table(spark, d, "part"), "p_brand", "p_name")
     sizes = titles.groupBy("cluster").agg(F.sum("n").alias("size"))
-    words = sizes.select("cluster", F.array(F.lit("part")).alias("keywords"))
+    words = sem.keywords(sem.ctfidf_scores(table(spark, d, "part"), "p_brand", "p_name"))
     return spark.createDataFrame(sorted(sem.assign_names(sizes, titles, words).items()), "cluster string, name string")
 
 
@@ -190,6 +191,29 @@ def rescue(spark: SparkSession, d: str) -> DataFrame:
     return sem.rescue(vectors(spark, d).withColumn("category", hidden), "vec_id", "category")[2]
 
 
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors scaled by their id and back to length 1: sums of their components and of the squares."""
+    scaled = table(spark, d, "embeddings").withColumn("v", unit(F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1))))
+    sums = [F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("squares")]
+    return rounded(scaled.select("vec_id", *sums), "total", "squares")
+
+
+def provider_order(spark: SparkSession, d: str) -> DataFrame:
+    """Providers by last share, with their places."""
+    w = Window.orderBy(F.desc(F.round("last_share", 9)), "provider")  # eight rows
+    return mk.provider_shares(adverts(spark, d), PROVIDERS).select("provider", F.row_number().over(w).alias("place"))
+
+
+def series_order(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a composition by summed share, with their places."""
+    series = mk.composition(adverts(spark, d), "sector").groupBy("value").agg(F.round(F.sum("share"), 9).alias("s"))
+    return series.select("value", F.row_number().over(Window.orderBy(F.desc("s"), "value")).alias("place"))  # a row a value
+
+
+def every_third(spark: SparkSession, d: str) -> DataFrame:
+    return sem.every_nth(table(spark, d, "embeddings").select("vec_id"), "vec_id", 3)
+
+
 def instrument(spark: SparkSession, d: str) -> tuple[dict[str, float], list[float], float, int]:
     """(observed moments at grace 3, detection by age, chance of being seen again, runs): all of them a few numbers."""
     seen, runs = event_sightings(spark, d), event_runs(spark, d)
@@ -262,8 +286,14 @@ def queries() -> dict[str, Query]:
         "cluster_names": cluster_names,
         "cluster_sizes": cluster_sizes,
         "kmeans_silhouette": clusters,
-        "pca_map": lambda s, d: sem.embedding_map(vectors(s, d), "vec_id", 1),
+        "pca_map": lambda s, d: sem.embedding_map(rows := vectors(s, d), "vec_id", max(1, rows.count() // 1400)),
         "rescue_other": rescue,
+        "unit_vectors": unit_vectors,
+        "provider_order": provider_order,
+        "series_order": series_order,
+        "systematic_sample": every_third,
+        "sensitivity_at_one": lambda s, d: rounded(vw.at_grace(sv.grace_sensitivity(spelled(s, d), det.markov_fit(seen(s, d)))), "rmst", "false_delisting_markov"),
+        "middle_rmst_descending": lambda s, d: rounded(vw.middle(sv.km_summary(sv.km_curve(typed(s, d).where("not left_censored"), ["event_type"]), ["event_type"]), "rmst", True), "middle"),
         "simulate_moments": simulate_moments,
         "calibrate": calibrated,
     }
