@@ -1,20 +1,22 @@
 """A log-bilinear language model over a small vocabulary, trained in numpy by noise-contrastive estimation.
 
-Ids: 0 is any word outside the vocabulary, 1 the end of a text (also what stands before its first word), the others are
-words. The representation predicted from the two ids before, R[w1] C1 + R[w2] C2, is compared with each word's Q, and a
+Ids stand for units of text; 1 is the end of a text (also what stands before its first word). The representation predicted from the two ids before, R[w1] C1 + R[w2] C2, is compared with each word's Q, and a
 bias is added. Training tells observed ids from ids drawn from the unigram distribution; scoring normalises over the
 vocabulary, with matrix products over batches of contexts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-from .common import sigmoid
+from .common import map_arrow, sigmoid
 
-OTHER, END = 0, 1
+END = 1
 DIM, NOISE, BATCH, RATE = 24, 64, 4096, 0.05
 
 
@@ -41,17 +43,39 @@ class LogBilinear:
             at += k
         return cls(**out)
 
-    def tables(self, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(by w1, by w2, log of the sum over the vocabulary by [w2, w1]): a token's log-probability is the sum of its entries of the first two, minus that of the third."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(by w1, by w2): a token's log-probability is the sum of its entries, minus `log_sums` of its context."""
         a1 = (self.r @ self.c1 @ self.q.T).astype(np.float32) + self.b.astype(np.float32)
-        a2 = (self.r @ self.c2 @ self.q.T).astype(np.float32)
-        z = np.empty((len(a1), len(a1)), np.float32)
-        for w2 in range(len(a2)):
-            for i in range(0, len(a1), block):
-                s = a1[i : i + block] + a2[w2]
-                top = s.max(1, keepdims=True)
-                z[w2, i : i + block] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        return a1, a2, z
+        return a1, (self.r @ self.c2 @ self.q.T).astype(np.float32)
+
+
+def log_sums(a1: np.ndarray, a2: np.ndarray, w2: int, block: int = 256) -> np.ndarray:
+    """The log of the sum over all units, by w1, after w2."""
+    out = np.empty(len(a1), np.float32)
+    for i in range(0, len(a1), block):
+        s = a1[i : i + block] + a2[w2]
+        top = s.max(1, keepdims=True)
+        out[i : i + block] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
+    return out
+
+
+def normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
+    """[w2, w1]: log_sums of all contexts, made by all machines; as many squared as there are units."""
+    size = len(model.b)
+    shared = spark.sparkContext.broadcast(model.tables())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a1, a2 = shared.value
+        for b in batches:
+            for w2 in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([w2]), pa.array([log_sums(a1, a2, w2).tobytes()], pa.binary())], ["w2", "z"])
+
+    rows = map_arrow(spark.range(0, size, 1, max(1, size // 64)), run, "w2 long, z binary").collect()
+    z = np.empty((size, size), np.float32)
+    for r in rows:
+        z[r["w2"]] = np.frombuffer(r["z"], np.float32)
+    shared.unpersist()
+    return z
 
 
 def start(counts: np.ndarray, dim: int = DIM, seed: int = 3) -> LogBilinear:

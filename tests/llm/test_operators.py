@@ -306,9 +306,10 @@ def test_base_scores_and_model_normalisation(spark):
     docs = table(spark, rows + [(3, rows[3][1])])
     train = docs.where(F.col("doc_id") < 150)
     counts, counted = lm_scoring.gather_counts(train.select("text"), frequent=20, size=12)
-    model = lm_scoring.train(train.select("text"), counts)
-    a1, a2, z = model.tables()
-    assert np.allclose(np.exp(a1[3] + a2[5] - z[5, 3]).sum(), 1, atol=1e-4)
+    model = lm_scoring.train(train.select("doc_id", "text"), counts)
+    a1, a2 = model.tables()
+    z = log_bilinear.normalisers(spark, model)
+    assert z.shape == (counts.size, counts.size) and np.allclose(np.exp(a1[3] + a2[5] - z[5, 3]).sum(), 1, atol=1e-4)
     out = lm_scoring.score(docs, counts, counted, model).collect()
     c = Counter(w for r in train.collect() for w in words_of(r["text"]))
     ends = train.count()
@@ -324,11 +325,33 @@ def test_base_scores_and_model_normalisation(spark):
     assert lm_scoring.score(docs.limit(0), counts, counted, model).count() == 0
 
 
-def test_word_probabilities_sum_to_one():
-    counts = lm_scoring.Counts([f"w{i}" for i in range(30)], list(range(60, 30, -1)), sum(range(31, 61)) + 40, 60, 25, size=12)
-    inside = counts.size - 2
-    rare = sum(counts.c[inside:] + 1) + (counts.other_total - counts.c[inside:].sum()) + (counts.other_distinct - len(counts.c[inside:]))
-    assert rare + 1 == counts.other_total + counts.other_distinct + 1  # one share is left for unseen words
+def test_word_probabilities_sum_to_one(spark):
+    """Over all counted words of a class and one share for unseen ones; and over units, so over everything."""
+    rnd = random.Random(7)
+    rows = spark.createDataFrame([(" ".join(rnd.choice(WORDS) + rnd.choice("abcdefgh") for _ in range(40)),) for _ in range(60)], "text string")
+    counts, counted = lm_scoring.gather_counts(rows, frequent=30, size=12)
+    share = np.zeros(counts.classes)
+    single = {w for w, i in counts.index.items() if i < counts.single}
+    for r in counted.collect():
+        w = r["word"].encode()
+        if w not in single:
+            share[lm_scoring.ending(w) % counts.classes] += r["c"] + 1
+    assert np.array_equal(share, counts.class_total + counts.class_distinct) and counts.size == 12
+    assert counts.unigram.sum() == counts.total
+    assert lm_scoring.units_for(10**6) > lm_scoring.units_for(10**4) > lm_scoring.units_for(1)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rnd, rnd.randint(5, 80))) for i in range(300)] + [(7, "same id twice"), (7, "same id twice")], "doc_id long, text string")
+
+    def scored(rows):
+        counts, counted = lm_scoring.gather_counts(rows.select("text"))
+        model = lm_scoring.train(rows, counts, shard=1500)  # four shards a round
+        return sorted((r["doc_id"], r["score"]) for r in lm_scoring.score(rows, counts, counted, model).collect())
+
+    one, many = scored(docs.coalesce(1)), scored(docs.repartition(9, F.rand(3)))
+    assert [i for i, _ in one] == [i for i, _ in many] and np.allclose([x for _, x in one], [x for _, x in many], rtol=1e-5)
 
 
 def test_training_beats_the_unigram():
@@ -341,7 +364,8 @@ def test_training_beats_the_unigram():
     for i in range(0, len(ids), 4000):
         for _ in range(5):
             t.learn(ids[i : i + 4000], first[i : i + 4000])
-    a1, a2, z = t.m.tables()
+    a1, a2 = t.m.tables()
+    z = np.stack([log_bilinear.log_sums(a1, a2, w) for w in range(len(a1))])
     w1, w2 = log_bilinear.contexts(ids, first)
     p = counts / counts.sum()
     assert (a1[w1, ids] + a2[w2, ids] - z[w2, w1]).mean() > np.log(p[ids]).mean() + 0.3
@@ -369,7 +393,7 @@ def test_training_weighs_triples_by_their_tokens(monkeypatch):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_held_out_real_texts_score_above_the_unigram(spark):
     out = lm_scoring.op6_lm_scoring(spark, DATA).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
-    assert (out[0] - out[1]) / out[2] > 0.08
+    assert (out[0] - out[1]) / out[2] > 0.2
 
 
 # classifiers
