@@ -183,10 +183,10 @@ def train(rows: DataFrame, counts: Counts, shard: int = SHARD, rounds: int = ROU
                     first = np.zeros(len(at), bool)
                     first[begin] = True
                     trainer.learn(counts.units(split, at), first)
-                v = trainer.m.flat()
+                v = trainer.m.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v * trainer.tokens), pa.array(np.full(len(v), float(trainer.tokens)))], ["i", "v", "n"])
 
-        mine = dealt.where(F.col("round") == part).repartition(n, "shard").sortWithinPartitions("shard", "place", "text").select("shard", "text")
+        mine = dealt.where(F.col("round") == part).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "place", "text").select("shard", "text")
         summed = map_arrow(mine, run, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         if summed.num_rows:
             flat = np.zeros(summed.num_rows)

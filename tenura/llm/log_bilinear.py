@@ -105,9 +105,9 @@ class Trainer:
     """Trains a copy of a model, one chunk of ids after another; Adagrad."""
 
     def __init__(self, model: LogBilinear, counts: np.ndarray, seed: int):
-        self.m = LogBilinear.unflat(model.flat(), *model.r.shape)
+        self.m = LogBilinear.unflat(model.flat().astype(np.float32), *model.r.shape)
         p = (counts + 0.5) / (counts + 0.5).sum()
-        self.log_noise = np.log(NOISE * p)
+        self.log_noise = np.log(NOISE * p).astype(np.float32)
         self.cum = np.cumsum(p)
         self.rng = np.random.default_rng(seed)
         self.sq = {n: np.full_like(getattr(self.m, n), 1e-8) for n in LogBilinear.NAMES}
@@ -126,7 +126,7 @@ class Trainer:
         self.tokens += len(ids)
         for i in range(0, len(key), BATCH):
             k, n = np.unique(key[i : i + BATCH], return_counts=True)
-            self.batch(k // (size * size), k // size % size, k % size, n / BATCH)
+            self.batch(k // (size * size), k // size % size, k % size, (n / BATCH).astype(np.float32))
 
     def batch(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
         m = self.m
