@@ -10,7 +10,7 @@ from .impact_search import OP8_SQL, op8_exact_top_k
 from .lm_scoring import op6_lm_scoring
 from .lsh_search import op4_nearest
 from .mixing import op5_mixing, op5_sql
-from .near_dup import op2_near_dup
+from .near_dup import op2_near_dup, op2_sql
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .sentence_pieces import op3_sentence_pieces
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": op5_sql(), "op8_exact_top_k": OP8_SQL}
+    return {"op2_near_dup": op2_sql(), "op5_mixing": op5_sql(), "op8_exact_top_k": OP8_SQL}
