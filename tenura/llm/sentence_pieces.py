@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is cut into words: before white space marks, and around characters that no longer piece holds, so that no piece
-can cross a cut. Of the words that a worker has not met lately, all substrings up to the longest piece are exploded,
-equi-joined to the piece table and grouped by word: a lattice of edges by (start, length), held as one array. Then all
+can cross a cut. Of the words that a worker has not met lately, all substrings up to the longest piece are looked up in
+the piece table by their 64-bit hashes, which gives each word's lattice: an array of edges by (start, length). Then all
 words are folded together, each by its best edge in each round, and documents take the segmentations of their words.
-Nothing is shuffled.
+All of this is numpy within one mapInArrow; there is no join and nothing is shuffled.
 
 The fold replays merges: the best-scored edge that spans two neighbouring segments joins them, the leftmost of equals,
 until none is left. That is what a piece table of kind BPE stands for; a Viterbi fold (the path with the largest sum of
-scores) gives other pieces than the library does for such a table, and the tables at hand are of that kind. The same fold
-as a higher-order aggregate of Spark gave the same ids, but took over twice the CPU budget (see the README).
+scores) gives other pieces than the library does for such a table, and the tables at hand are of that kind. The README
+has figures of the relational form, a join of exploded substrings with a higher-order aggregate, and of Viterbi.
 """
 
 from __future__ import annotations
