@@ -37,6 +37,8 @@ HELD = 250_000
 BLOCK = 200_000
 NONE = np.int32(1 << 30)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash by which most substrings are told to be no piece.
+TOP_BITS = 18
 
 
 class Pieces:
@@ -74,10 +76,17 @@ class Pieces:
         self.rank_of = np.full(n + 1, NONE, np.int32)  # by id; the last is for no piece
         for p, i in self.ids.items():
             self.rank_of[i] = self.rank[p]
+        #: By length: hashes in order, ids, and which values of a hash's top bits occur at all.
         self.tables = {}
         for length, rows in by_length.items():
             rows.sort()
-            self.tables[length] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int32))
+            keys = np.array([h for h, _ in rows], np.uint64)
+            seen = np.zeros(1 << TOP_BITS, bool)
+            seen[keys >> np.uint64(64 - TOP_BITS)] = True
+            self.tables[length] = (keys, np.array([i for _, i in rows], np.int32), seen)
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.bytes.values())] = True
+        self.digits = [str(i).encode() for i in range(n)]
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -99,11 +108,12 @@ class Pieces:
             if not len(live):
                 break
             if length in self.tables:
-                keys, ids = self.tables[length]
-                seen = h[live]
+                keys, ids, top = self.tables[length]
+                likely = live[top[h[live] >> np.uint64(64 - TOP_BITS)]]  # few substrings are pieces
+                seen = h[likely]
                 k = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
                 hit = keys[k] == seen
-                edges[live[hit], length - 1] = ids[k[hit]]
+                edges[likely[hit], length - 1] = ids[k[hit]]
         return size, edges
 
     def fold(self, size: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +157,10 @@ class Pieces:
             place = np.cumsum(keep) - 1
             at, to, own, rank = at[keep], to[keep], own[keep], rank[keep]
             todo = place[hits]
-            before = todo[todo > 0] - 1
-            todo = np.unique(np.r_[todo, before])
+            touched = np.zeros(len(at), bool)
+            touched[todo] = True
+            touched[todo[todo > 0] - 1] = True
+            todo = np.flatnonzero(touched)
             rank[todo] = NONE
             todo = todo[todo + 1 < len(at)]
             todo = todo[own[todo] == own[todo + 1]]
@@ -229,8 +241,10 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return self.decode_bytes(ids).decode("utf-8", "replace").replace(MARK, " ")[1:]
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -262,12 +276,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        byte_ids = np.array(sorted(p.bytes.values()))
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
             for i, j in chunks(texts, 1_000_000):
                 ids = p.encode(texts[i:j])
-                n_bytes = [int(np.isin(x, byte_ids).sum()) for x in ids]
+                n_bytes = [int(np.count_nonzero(p.is_byte[x])) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), ragged(ids), pa.array(n_bytes, pa.int64())], ["doc_id", "ids", "n_bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -296,10 +309,15 @@ def digested(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda s: hashlib.sha256(s).hexdigest()
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), b.column("n_bytes"), pa.array([sha(",".join(map(str, x))) for x in ids]), pa.array([sha(p.decode(x)) for x in ids])], ["doc_id", "n_pieces", "n_bytes", "ids_sha256", "text_sha256"])
+            column = b.column("ids")
+            size = np.diff(column.offsets.to_numpy())
+            flat, end = column.flatten().to_numpy().tolist(), np.cumsum(size).tolist()
+            ids = [flat[e - n : e] for n, e in zip(size.tolist(), end, strict=True)]
+            of_ids = [sha(b",".join(map(p.digits.__getitem__, x))) for x in ids]
+            of_text = [sha(p.decode(x).encode()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), b.column("n_bytes"), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_pieces", "n_bytes", "ids_sha256", "text_sha256"])
 
     return map_arrow(encoded, run, "doc_id long, n_pieces long, n_bytes long, ids_sha256 string, text_sha256 string")
 
