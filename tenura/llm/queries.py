@@ -11,6 +11,7 @@ from .lm_scoring import op6_lm_scoring
 from .lsh_search import op4_nearest
 from .mixing import op5_mixing, op5_sql
 from .near_dup import op2_near_dup, op2_sql
+from .periodic_runs import op13_periodic_runs
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .sentence_pieces import op3_sentence_pieces
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
