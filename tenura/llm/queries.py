@@ -15,6 +15,7 @@ from .periodic_runs import op13_periodic_runs
 from .quality import op9_quality
 from .secrets import op1_secrets
 from .sentence_pieces import op3_sentence_pieces
+from .sharding import op12_sharding
 from .token_counts import op7_token_counts
 from .toxicity import op10_toxicity
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op12_sharding": op12_sharding,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
