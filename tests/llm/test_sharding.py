@@ -21,9 +21,11 @@ def cut(rows, key):
 
 def least_cut(sizes, n, shards):
     """The cut if every group has shards of its own: no placement has less."""
-    room, pairs, out = max(quotas(n, shards)), lambda k: k * (k - 1) // 2, 0
+    pairs, out = lambda k: k * (k - 1) // 2, 0
     for k in sizes:
-        out += pairs(k) - k // room * pairs(room) - pairs(k % room)
+        out += pairs(k)
+        for q in quotas(n, shards):
+            out, k = out - pairs(min(k, q)), k - min(k, q)
     return out
 
 
@@ -46,8 +48,9 @@ def test_shards_are_even_and_cut_little(spark, name):
     even(got)
     best = least_cut(sizes, len(rows), 16)
     dealt = sum(k * (k - 1) // 2 * 15 / 16 for k in sizes)  # of a random placement
+    assert name != "all in one group" or cut(got, "print") == best
     # of what any placement could save; without unlinked rows, or with a group larger than a shard, moves get in each other's way
-    assert dealt - cut(got, "print") >= {"all linked": 0.7, "a third in one group": 0.85}.get(name, 1.0) * (dealt - best)
+    assert dealt - cut(got, "print") >= {"all linked": 0.7, "a third in one group": 0.85, "all in one group": 0}.get(name, 1.0) * (dealt - best)
 
 
 def test_links_of_two_columns_meet_in_chains(spark):
