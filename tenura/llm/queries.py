@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .impact_search import OP8_SQL, op8_exact_top_k
 from .lm_scoring import op6_lm_scoring
 from .lsh_search import op4_nearest
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_sharding": op12_sharding,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": op2_sql(), "op5_mixing": op5_sql(), "op8_exact_top_k": OP8_SQL}
+    return {"op2_near_dup": op2_sql(), "op5_mixing": op5_sql(), "op8_exact_top_k": OP8_SQL, "op11_hard_negatives": OP11_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,9 +18,9 @@ def usable(column: str, nonzero: bool) -> Column:
     return F.coalesce(ok & F.exists(column, lambda x: x != 0) if nonzero else ok, F.lit(False))
 
 
-def vector_rows(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
-    """(id long, vector array<double>) of the rows that take part; rows without an id take none."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+def vector_rows(df: DataFrame, id_col: str, vector_col: str, nonzero: bool, more: list[str] | None = None) -> DataFrame:
+    """(id long, vector array<double>) of the rows that take part, and the columns `more`; rows without an id take none."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), *(more or []))
     return rows.where(F.col("id").isNotNull() & usable("vector", nonzero))
 
 
@@ -50,3 +51,32 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def widen(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as doubles where those are exact, else as Python's integers (dtype object)."""
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    if np.abs(y).max(initial=0) < 1 << 53:
+        return y
+    whole = lambda v, w: int(w) if math.isfinite(w) else scale * int(v)
+    return np.array([[whole(v, w) for v, w in zip(a, b, strict=True)] for a, b in zip(x.tolist(), y.tolist(), strict=True)], object)
+
+
+LONG = (1 << 63) - 1
+
+
+def dots(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of y with the rows of x, both from `scaled`: exact, as int64; what is beyond +-(2^63 - 1) is cut to that."""
+    top = x.shape[1] * int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0))
+    if top < 1 << 53:
+        return (y.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if top < LONG:
+        return y.astype(np.int64) @ x.astype(np.int64).T
+    large = np.array([[int(v) for v in r] for r in y.tolist()], object) @ np.array([[int(v) for v in r] for r in x.tolist()], object).T
+    return np.clip(large, -LONG, LONG).astype(np.int64)
+
+
+def shrunk(x: np.ndarray) -> np.ndarray:
+    """Each row (none of zeros) times a power of two, so that its largest component is between 1/2 and 1: directions and cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
