@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune
-from .vectors import in_blocks, matrix, vector_rows, widen
+from .vectors import in_blocks, matrix, shrunk, vector_rows, widen
 
 #: Chosen for nearly uniform directions in 64 dimensions, where neighbours are far: recall of 0.9 or more there.
 TABLES, HASHES, WIDTH, PROBES, REACH, SEED = 2, 6, 2.0, 200, 1, 5
@@ -103,7 +103,7 @@ def best_rows(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, hashes: int = HASHES, slot: float = WIDTH, n_probes: int = PROBES, reach: int = REACH, block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by cosine on the original vectors.
 
-    Every row is indexed. Vectors that are null, empty, zero or hold null or non-finite components take no part, as
+    Every row is indexed. Finite vectors of any size count. Vectors that are null, empty, zero or hold null or non-finite components take no part, as
     query or as row; rows without an id neither. Vectors of different lengths count as filled with zeros. A query's own
     id is no candidate of it; a repeated query gives its rows once. Ties go to the smaller id. Where fewer than k
     candidates are in the visited buckets of a block, the whole block is searched, so that min(k, all) come back.
@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TA
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if a.num_rows and b.num_rows:
-            x, y = matrix(a.column("vector")), matrix(b.column("vector"))
+            x, y = shrunk(matrix(a.column("vector"))), shrunk(matrix(b.column("vector")))  # no square of a component overflows or vanishes
             width = max(x.shape[1], y.shape[1])
             x, y = widen(x, width), widen(y, width)
             ids = a.column("id").to_numpy()
