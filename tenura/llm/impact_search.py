@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune
-from .vectors import in_blocks, matrix, vector_rows, widen
+from .vectors import dots, in_blocks, matrix, scaled, vector_rows, widen
 
 LEVELS = 16
+#: Components (scaled) from which on the index isn't used.
+LARGEST = 1 << 24
 
 
 class ImpactIndex:
@@ -96,7 +98,7 @@ class ImpactIndex:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 16384, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest integer inner products, for each query.
 
-    Components x become floor(scale * x); they must stay within +-2^28. Vectors that are null, empty or hold null or
+    Components x become floor(scale * x), exactly, whatever their size; a score beyond +-(2^63 - 1) is cut to that. Vectors that are null, empty or hold null or
     non-finite components take no part, as query or as row; rows without an id neither. Vectors of different lengths
     count as filled with zeros. A query's own id is no candidate of it; rows that repeat an id count one by one; a
     repeated query gives its rows once. Ties go to the smaller id. Empty tables give empty results.
@@ -108,13 +110,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if a.num_rows and b.num_rows:
-            x, y = np.floor(scale * matrix(a.column("vector"))).astype(np.int64), np.floor(scale * matrix(b.column("vector"))).astype(np.int64)
+            a = a.sort_by("id")
+            x, y = matrix(a.column("vector")), matrix(b.column("vector"))
             width = max(x.shape[1], y.shape[1])
-            x, y = widen(x, width), widen(y, width)
-            ids = a.column("id").to_numpy()
-            index = ImpactIndex(ids, x, int(np.abs(y).max()))
+            x, y = scaled(widen(x, width), scale), scaled(widen(y, width), scale)
+            ids, small = a.column("id").to_numpy(), x.dtype != object and y.dtype != object and max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < LARGEST
+            index = ImpactIndex(ids, x.astype(np.int64), int(np.abs(y).max())) if small else None
             for q, v in zip(b.column("id").to_pylist(), y, strict=True):
-                found, score = index.top(v, q, k, few=max(8 * k, len(ids) // 50))
+                if index:
+                    found, score = index.top(v.astype(np.int64), q, k, few=max(8 * k, len(ids) // 50))
+                else:  # sums of impacts could leave 64 bits: every row is scored exactly
+                    every = dots(v[None], x)[0]
+                    best = [i for i in np.argsort(-every, kind="stable") if ids[i] != q][:k]
+                    found, score = ids[best], every[best]
                 out["query_id"] += [q] * len(found)
                 out["vec_id"] += found.tolist()
                 out["score"] += score.tolist()
