@@ -13,6 +13,8 @@ block. So no bucket, however popular, is the work of one task, and only the k be
 from __future__ import annotations
 
 import itertools
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,9 +53,14 @@ def bucket_keys(slots: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@lru_cache
+def perturbations(hashes: int, reach: int) -> np.ndarray:
+    return np.array(list(itertools.product(range(-reach, reach + 1), repeat=hashes)))
+
+
 def probes(f: np.ndarray, most: int, reach: int) -> np.ndarray:
     """(tables, probes, hashes): the slots that one query (tables, hashes) visits, likeliest first."""
-    shifts = np.array(list(itertools.product(range(-reach, reach + 1), repeat=f.shape[1])))
+    shifts = perturbations(f.shape[1], reach)
     own = np.floor(f)
     within = f - own
     # distance to the nearest edge of a shifted slot, 0 for the own one
@@ -88,13 +95,14 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
-def best_rows(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.flatnonzero(ids != own)
+def best_rows(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, rough: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact cosines of the k nearest of `rows` (indices into ids, x and rough, their cosines to within rounding)."""
+    keep = rows[ids[rows] != own]
+    if len(keep) > k:  # ties with the k-th, to within rounding, stay
+        r = rough[keep]
+        keep = keep[r >= np.partition(r, len(r) - k)[len(r) - k] - 1e-9]
     if not len(keep):
         return ids[:0], np.zeros(0)
-    rough = x[keep] @ (q / np.sqrt((q * q).sum())) / np.sqrt((x[keep] * x[keep]).sum(1))
-    if len(keep) > k:  # ties with the k-th, to within rounding, stay
-        keep = keep[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
     score = cosines(q, x[keep])
     best = np.lexsort((ids[keep], -score))[:k]
     return ids[keep[best]], score[best]
@@ -121,11 +129,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TA
             x, y = widen(x, width), widen(y, width)
             ids = a.column("id").to_numpy()
             index = Buckets(x, *planes(width, tables, hashes, slot, SEED), slot)
-            for q, v, at in zip(b.column("id").to_pylist(), y, positions(y, index.a, index.b, slot), strict=True):
-                rows = index.candidates(at, n_probes, reach)
-                found, score = best_rows(ids[rows], x[rows], v, q, k)
+            directions, asks = unit(x), unit(y)
+            for i, (q, v, at) in enumerate(zip(b.column("id").to_pylist(), y, positions(y, index.a, index.b, slot), strict=True)):
+                if i % 256 == 0:
+                    rough = asks[i : i + 256] @ directions.T
+                found, score = best_rows(ids, x, index.candidates(at, n_probes, reach), rough[i % 256], v, q, k)
                 if len(found) < k:
-                    found, score = best_rows(ids, x, v, q, k)
+                    found, score = best_rows(ids, x, np.arange(len(ids)), rough[i % 256], v, q, k)
                 out["query_id"] += [q] * len(found)
                 out["vec_id"] += found.tolist()
                 out["score"] += score.tolist()
