@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, TERM, clean_title
+from . import clustering as cl
 
 SEED = 42
 #: TERM in whole Unicode text: its edges of words written out, a word character being a letter, a number or an underscore.
@@ -86,37 +86,33 @@ def as_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def reduced(rows: DataFrame, k: int, to: str = "reduced") -> DataFrame:
-    """Centred principal components of `features`."""
+    """Centred principal components of `features`: k of them, or fewer where the vectors are narrower or the rows fewer; zeros where there is one row."""
+    first = rows.select(F.size(vector_to_array("features")).alias("w")).head()
+    n = rows.limit(k + 2).count()  # more rows make no difference
+    k = max(1, min(k, first["w"] if first else k, max(2, n - 1)))
+    if n < 2:
+        return rows.withColumn(to, array_to_vector(F.array_repeat(F.lit(0.0), k)))
     centred = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(rows).transform(rows)
     return PCA(k=k, inputCol="centred", outputCol=to).fit(centred).transform(centred).drop("centred")
 
 
-def silhouette(points: DataFrame, most: int = 2000) -> float:
-    """Mean Euclidean silhouette of rows (id, cluster, v ARRAY) of a bounded sample: the first `most` by hash of the id."""
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(most)
-    other = F.broadcast(sample.select(F.col("id").alias("id2"), F.col("cluster").alias("c2"), F.col("v").alias("v2")))  # `most` rows
-    gap = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    mean = sample.join(other, F.col("id") != F.col("id2")).groupBy("id", "cluster", "c2").agg(F.avg(gap).alias("m"))
-    a = F.max(F.when(F.col("cluster") == F.col("c2"), F.col("m")))
-    b = F.min(F.when(F.col("cluster") != F.col("c2"), F.col("m")))
-    s = mean.groupBy("id").agg(a.alias("a"), b.alias("b")).select(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    return float(s.agg(F.avg("s")).head()[0] or 0.0)
-
-
-def cluster(rows: DataFrame, id_col: str, ks: range = range(6, 17), starts: int = 10, dims: int = 10, column: str = "features") -> tuple[DataFrame, DataFrame]:
-    """(assignments (id, cluster), one row for each k with its silhouette, best first): of `starts` fits the cheapest counts."""
-    small = reduced(rows, dims).select(F.col(id_col).alias("id"), F.col("reduced").alias("features")).cache()
-    best, scores = None, []
-    for k in ks:
-        fits = [KMeans(k=k, seed=SEED + s, featuresCol="features").fit(small) for s in range(starts)]
-        model = min(fits, key=lambda m: m.summary.trainingCost)
-        placed = model.transform(small).select("id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
-        score = silhouette(placed)
-        scores.append((k, score))
-        if best is None or score > best[0]:
-            best = (score, placed.select("id", "cluster"))
+def cluster(rows: DataFrame, id_col: str, ks: range = range(6, 17), starts: int = 10, dims: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(assignments (id, cluster), silhouettes (k, silhouette)): for each k below the number of rows the cheapest of `starts` fits counts.
+
+    The k with the best silhouette assigns, the smallest of equals. With too few rows for any k all are cluster 0. All
+    fits share their scans, and all silhouettes theirs.
+    """
+    small = reduced(rows, dims).select(F.col(id_col).alias("id"), vector_to_array("reduced").alias("v")).cache()
+    n = small.count()
+    tried = [k for k in ks if k < n]
     spark = rows.sparkSession
-    return best[1], spark.createDataFrame(scores, "k int, silhouette double")
+    if not tried:
+        return small.select("id", F.lit(0).alias("cluster")), spark.createDataFrame([], "k int, silhouette double")
+    best = cl.best_fits(small, tried, starts, SEED)
+    scores = cl.silhouettes(cl.nearest(small, [best[k] for k in tried]))
+    top = tried[max(range(len(tried)), key=lambda i: scores[i])]
+    placed = cl.nearest(small, [best[top]]).select("id", F.get("clusters", F.lit(0)).alias("cluster"))
+    return placed, spark.createDataFrame(list(zip(tried, scores, strict=True)), "k int, silhouette double")
 
 
 def every_nth(rows: DataFrame, id_col: str, step: int) -> DataFrame:

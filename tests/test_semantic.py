@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tenura.operators import calibrate as cal
+from tenura.operators import clustering as cl
 from tenura.operators import semantic as sem
 from tenura.operators import views as vw
 from tenura.plans import full_run
@@ -28,16 +29,59 @@ def gaps(x):
     return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
 
 
-def test_silhouette_is_the_plain_one(spark, points):
-    x, _ = points
-    label = np.r_[np.repeat([0, 1], 50), np.full(19, 2), 3]  # the last cluster has one member
+def plain_silhouette(x, label):
     d, s = gaps(x), []
     for i in range(len(x)):
         same = (label == label[i]) & (np.arange(len(x)) != i)
         a, b = d[i][same].mean() if same.any() else None, min(d[i][label == c].mean() for c in set(label) - {label[i]})
         s.append(0.0 if a is None else (b - a) / max(a, b))
-    rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x, strict=True))], "id long, cluster int, v array<double>")
-    assert abs(sem.silhouette(rows) - np.mean(s)) < 1e-9
+    return np.mean(s)
+
+
+def test_silhouettes_are_the_plain_ones(spark, points):
+    x, _ = points
+    labels = [np.r_[np.repeat([0, 1], 50), np.full(19, 2), 3], np.repeat([2, 0, 5], 40)]  # a cluster of one; numbers that miss some
+    rows = spark.createDataFrame([(i, v.tolist(), [int(c[i]) for c in labels]) for i, v in enumerate(x)], "id long, v array<double>, clusters array<int>")
+    for block in (7, 256):
+        assert np.allclose(cl.silhouettes(rows, block=block), [plain_silhouette(x, c) for c in labels], atol=1e-12)
+    assert cl.silhouettes(rows.withColumn("clusters", F.array(F.lit(0)))) == [0.0]
+    assert cl.silhouettes(rows.limit(0)) == []
+
+
+def plain_lloyd(x, c):
+    while True:
+        own = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        moved = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+        if np.allclose(moved, c, atol=1e-12):
+            return moved, ((x - c[own]) ** 2).sum()
+        c = moved
+
+
+def test_fits_that_share_their_scans_are_the_separate_ones(spark, points):
+    x, df = points
+    rows = df.select("id", F.col("embedding").alias("v")).repartition(5)
+    starts = [cl.starting_centres(x, k, s) for k in (2, 3, 5, 9) for s in range(4)]
+    starts.append(np.array([[100.0] * 4, x[0], x[50]]))  # a centre without rows stays
+    for (centres, cost), start in zip(cl.lloyd(rows, starts), starts, strict=True):
+        want, least = plain_lloyd(x, start)
+        assert np.allclose(centres, want, atol=1e-3) and abs(cost - least) < 1e-3 * least
+
+
+def test_scans_do_not_grow_with_the_fits(spark, points, monkeypatch):
+    done = []
+    monkeypatch.setattr(cl, "scan", lambda points, sets, scan=cl.scan: done.append(len(sets)) or scan(points, sets))
+    sem.cluster(sem.as_vectors(points[1]), "id", range(2, 8), 10)
+    assert len(done) < 40 and done[0] == 60 and sorted(done, reverse=True) == done
+
+
+@pytest.mark.parametrize(("n", "width"), [(0, 4), (1, 4), (2, 4), (5, 12), (5, 3), (40, 4)])
+def test_clusters_of_few_rows_and_narrow_vectors(spark, n, width):
+    rng = np.random.default_rng(n)
+    df = sem.as_vectors(spark.createDataFrame([(i, rng.normal(size=width).tolist()) for i in range(n)], "id long, embedding array<double>"))
+    placed, scores = sem.cluster(df, "id", range(3, 7), 2)
+    assert [r["k"] for r in scores.orderBy("k").collect()] == [k for k in range(3, 7) if k < n]
+    assert sorted(r["id"] for r in placed.collect()) == list(range(n)) and (n > 3 or {r["cluster"] for r in placed.collect()} <= {0})
+    assert sem.embedding_map(df, "id", 1).count() == n
 
 
 def test_components_are_numpys(points):
