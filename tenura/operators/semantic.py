@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.text import STOP_WORDS, TERM, clean_title
 from . import clustering as cl
 
@@ -131,10 +132,11 @@ def every_nth(rows: DataFrame, id_col: str, step: int) -> DataFrame:
 
 def embedding_map(rows: DataFrame, id_col: str, step: int) -> DataFrame:
     """(id, x, y): every `step`-th row by id, in two components scaled by the 99th percentile of their absolute values."""
-    flat = reduced(rows, 2).select(F.col(id_col).alias("id"), vector_to_array("reduced").alias("v"))
-    lim = flat.select(F.explode("v").alias("c")).agg(F.percentile(F.abs("c"), 0.99).alias("lim"))
-    scale = F.when(F.col("lim") > 0, F.col("lim")).otherwise(1.0)
-    return every_nth(flat, "id", step).crossJoin(F.broadcast(lim)).select("id", F.round(F.col("v")[0] / scale, 4).alias("x"), F.round(F.col("v")[1] / scale, 4).alias("y"))
+    flat = reduced(rows, 2).select(F.col(id_col).alias("id"), vector_to_array("reduced").alias("v")).cache()
+    found = exact_quantiles(flat.select(F.explode("v").alias("c")).select(F.abs("c").alias("c")), "c", [0.99]).head()
+    scale = F.lit((found["values"][0] if found else 0.0) or 1.0)
+    at = lambda i: F.round(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / scale, 4)  # noqa: E731  vectors of one component have no second
+    return every_nth(flat, "id", step).select("id", at(0).alias("x"), at(1).alias("y"))
 
 
 def _classifier(train: DataFrame, c: float) -> LogisticRegression:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import Z95, chi2_tail_sql
 
 
@@ -82,13 +83,11 @@ def grace_sensitivity(spelled: DataFrame, markov: DataFrame, horizon: int = 90)
 
 
 def observed_moments(spelled: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., single_share, median_span, p90_span, n) of spells that are not left-censored."""
-    return spelled.where("not left_censored").groupBy(*by).agg(
-        F.avg((F.col("sightings") == 1).cast("double")).alias("single_share"),
-        F.percentile("duration", 0.5).alias("median_span"),
-        F.percentile("duration", 0.9).alias("p90_span"),
-        F.count("*").alias("n"),
-    )
+    """(by..., single_share, median_span, p90_span, n) of spells that are not left-censored; groups are few, quantiles exact."""
+    kept = spelled.where("not left_censored")
+    counts = kept.groupBy(*by).agg(F.avg((F.col("sightings") == 1).cast("double")).alias("single_share"), F.count("*").alias("n"))
+    spans = exact_quantiles(kept, "duration", [0.5, 0.9], by).select(*by, F.get("values", F.lit(0)).alias("median_span"), F.get("values", F.lit(1)).alias("p90_span"))
+    return counts.join(F.broadcast(spans), by).select(*by, "single_share", "median_span", "p90_span", "n")
 
 
 def by_cluster(spelled: DataFrame, assigned: DataFrame, least: int = 40, horizon: int = 90) -> DataFrame:

@@ -32,16 +32,20 @@ def spell_groups(spelled: DataFrame, group_of: DataFrame | None, default: str |
 def weekly_series(spelled: DataFrame, runs: DataFrame) -> DataFrame:
     """(group, week, inflow, stock, inflow_share) of spells (group, start_idx, last_seen_idx), on the full grid of kept weeks.
 
-    A spell is stock of each week with a run between its ends; runs are joined by their index after the indices are
-    counted by (group, start, last), so the range is made once for each distinct range, not for each spell.
+    A spell is stock of each week from its first to its last, as far as weeks have runs. A sweep over the weeks adds it at
+    its first week and takes it away after its last, so a spell is two numbers, however long it is.
     """
-    axis = runs.select("run_idx", iso_week(F.col("run_date")).alias("week"))
-    ranges = spelled.groupBy("group", "start_idx", "last_seen_idx").agg(F.count("*").alias("n"))
-    inflow = ranges.join(F.broadcast(axis), F.col("start_idx") == F.col("run_idx")).groupBy("group", "week").agg(F.sum("n").alias("inflow"))
-    touched = ranges.withColumn("run_idx", F.explode(F.sequence("start_idx", "last_seen_idx"))).join(F.broadcast(axis), "run_idx").select("group", "start_idx", "last_seen_idx", "n", "week").distinct()
-    stock = touched.groupBy("group", "week").agg(F.sum("n").alias("stock"))
-    grid = spelled.select("group").distinct().crossJoin(F.broadcast(week_axis(runs).where("kept").select("week")))
-    full = grid.join(inflow, ["group", "week"], "left").join(stock, ["group", "week"], "left").na.fill(0, ["inflow", "stock"])
+    weeks = week_axis(runs).withColumn("no", F.row_number().over(Window.orderBy("week")))  # a row a week
+    axis = runs.select("run_idx", iso_week(F.col("run_date")).alias("week")).join(F.broadcast(weeks), "week").select("run_idx", "no")
+    at = lambda c, name: F.broadcast(axis.select(F.col("run_idx").alias(c), F.col("no").alias(name)))  # noqa: E731  a row a run
+    ranges = spelled.groupBy("group", "start_idx", "last_seen_idx").agg(F.count("*").alias("n")).join(at("start_idx", "first"), "start_idx").join(at("last_seen_idx", "last"), "last_seen_idx")
+    comes = F.struct(F.col("first").alias("no"), F.col("n").alias("inflow"), F.col("n").alias("change"))
+    goes = F.struct((F.col("last") + 1).alias("no"), F.lit(0).cast("long").alias("inflow"), (-F.col("n")).alias("change"))
+    steps = ranges.select("group", F.explode(F.array(comes, goes)).alias("s")).groupBy("group", "s.no").agg(F.sum("s.inflow").alias("inflow"), F.sum("s.change").alias("change"))
+    grid = spelled.select("group").distinct().crossJoin(F.broadcast(weeks))
+    swept = grid.join(steps, ["group", "no"], "left").na.fill(0, ["inflow", "change"])
+    stock = F.sum("change").over(Window.partitionBy("group").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
+    full = swept.withColumn("stock", stock).where("kept").select("group", "week", "inflow", "stock")
     total = F.sum("inflow").over(Window.partitionBy("week"))
     return full.withColumn("inflow_share", F.col("inflow") / F.when(total == 0, 1).otherwise(total))
 

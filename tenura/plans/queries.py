@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.text import advert_text, is_placeholder, is_relevant, normalise_company, normalise_title
 from ..operators import calibrate as cal
 from ..operators import detection as det
@@ -210,6 +211,13 @@ def series_order(spark: SparkSession, d: str) -> DataFrame:
     return series.select("value", F.row_number().over(Window.orderBy(F.desc("s"), "value")).alias("place"))  # a row a value
 
 
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median, 90th and 99th percentile of what lines cost, by their flags: nearly all values are distinct."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    found = exact_quantiles(lines, "price", [0.5, 0.9, 0.99], ["l_returnflag", "l_linestatus"])
+    return found.select("l_returnflag", "l_linestatus", *(F.round(F.get("values", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+
+
 def every_third(spark: SparkSession, d: str) -> DataFrame:
     return sem.every_nth(table(spark, d, "embeddings").select("vec_id"), "vec_id", 3)
 
@@ -292,6 +300,7 @@ def queries() -> dict[str, Query]:
         "provider_order": provider_order,
         "series_order": series_order,
         "systematic_sample": every_third,
+        "price_quantiles": price_quantiles,
         "sensitivity_at_one": lambda s, d: rounded(vw.at_grace(sv.grace_sensitivity(spelled(s, d), det.markov_fit(seen(s, d)))), "rmst", "false_delisting_markov"),
         "middle_rmst_descending": lambda s, d: rounded(vw.middle(sv.km_summary(sv.km_curve(typed(s, d).where("not left_censored"), ["event_type"]), ["event_type"]), "rmst", True), "middle"),
         "simulate_moments": simulate_moments,
