@@ -80,7 +80,7 @@ def scan(points: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.n
     return out
 
 
-def lloyd(points: DataFrame, starts: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-8) -> list[tuple[np.ndarray, float]]:
+def lloyd(points: DataFrame, starts: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-5) -> list[tuple[np.ndarray, float]]:
     """(centres, cost) of each start, all of them moved in the same scans of `points` (v ARRAY<DOUBLE>).
 
     A fit whose centres move by less than `tolerance` of the rows' spread, in squares, is done and leaves the scans. A

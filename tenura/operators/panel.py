@@ -16,10 +16,15 @@ def run_axis(dates: DataFrame, column: str = "run_date") -> DataFrame:
     return days.select((F.dense_rank().over(Window.orderBy("run_date")) - 1).cast("int").alias("run_idx"), "run_date")
 
 
+def dated_runs(rows: DataFrame, runs: DataFrame, key: Column, date_col: str = "run_date") -> DataFrame:
+    """(key, run_idx) of each row; rows of unknown dates or without a key are left out. Rows may be a stream."""
+    dated = rows.select(key.alias("key"), F.col(date_col).cast("date").alias("run_date")).where("key is not null")
+    return dated.join(runs, "run_date").select("key", "run_idx")
+
+
 def sightings(rows: DataFrame, runs: DataFrame, key: Column, date_col: str = "run_date") -> DataFrame:
     """Distinct (key, run_idx); rows of unknown dates or without a key are left out."""
-    dated = rows.select(key.alias("key"), F.col(date_col).cast("date").alias("run_date")).where("key is not null")
-    return dated.join(runs, "run_date").select("key", "run_idx").distinct()
+    return dated_runs(rows, runs, key, date_col).distinct()
 
 
 def identity_key(title: Column, company: Column, url: Column | None = None, mode: str = "vacancy") -> Column:

@@ -156,6 +156,7 @@ two AS (SELECT x.skill AS a, y.skill AS b, count(*) AS n2 FROM ex x JOIN ex y ON
     FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id + 1)) AS v FROM embeddings))"""
     quantile = ", ".join(f"round(quantile_cont(l_extendedprice * (1 - l_discount), {q}), 6) AS {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99")))
     o["price_quantiles"] = f"SELECT l_returnflag, l_linestatus, {quantile} FROM lineitem GROUP BY l_returnflag, l_linestatus"
+    o["stream_replay"] = with_(SPELLS, "SELECT key, grace, start_idx, last_seen_idx, sightings FROM spells")
     o["systematic_sample"] = "SELECT vec_id FROM embeddings QUALIFY (row_number() OVER (ORDER BY vec_id) - 1) % 3 = 0"
     o["series_order"] = f"SELECT value, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, value) AS INTEGER) AS place FROM (SELECT value, sum(share) AS s FROM ({o['composition_sector'].replace('round(coalesce(n, 0) / CAST(total AS DOUBLE), 6)', 'coalesce(n, 0) / CAST(total AS DOUBLE)')}) GROUP BY value)"
     names = ", ".join(map(text, PROVIDERS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,10 @@ from ..operators import semantic as sem
 from ..operators import survival as sv
 from ..operators import trends as tr
 from ..operators import views as vw
-from ..sources.encoder import unit
 from ..sources.adapters import PROVIDERS, adverts, event_runs, event_sightings, table
+from ..sources.encoder import unit
+from ..sources.session import shared_folder
+from ..streaming import panel_stream as ps
 
 GRACES = (1, 3, 7)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +214,24 @@ def series_order(spark: SparkSession, d: str) -> DataFrame:
     return series.select("value", F.row_number().over(Window.orderBy(F.desc("s"), "value")).alias("place"))  # a row a value
 
 
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, file by file, through the stateful operator: the spells it has ended and those it holds open."""
+    name, store = ps.STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    key = F.concat_ws("|", F.col("user_id").cast("string"), "event_type")
+    # a pattern, as a stream takes a plain path for a folder and the table may be one file
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    stream = pn.dated_runs(events, event_runs(spark, d), key, "ts")
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    try:
+        query = ps.ended_spells(stream, GRACES).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(ps.SPELL).parquet(f"{folder}/out").unionByName(ps.open_spells(spark, f"{folder}/state", GRACES))
+
+
 def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Median, 90th and 99th percentile of what lines cost, by their flags: nearly all values are distinct."""
     lines = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
@@ -301,6 +322,7 @@ def queries() -> dict[str, Query]:
         "series_order": series_order,
         "systematic_sample": every_third,
         "price_quantiles": price_quantiles,
+        "stream_replay": stream_replay,
         "sensitivity_at_one": lambda s, d: rounded(vw.at_grace(sv.grace_sensitivity(spelled(s, d), det.markov_fit(seen(s, d)))), "rmst", "false_delisting_markov"),
         "middle_rmst_descending": lambda s, d: rounded(vw.middle(sv.km_summary(sv.km_curve(typed(s, d).where("not left_censored"), ["event_type"]), ["event_type"]), "rmst", True), "middle"),
         "simulate_moments": simulate_moments,

@@ -9,6 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir; where that is unset and Spark is one machine, a temporary one for each application."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="tenura-shared-"))
+    return found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
