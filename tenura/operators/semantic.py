@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.text import STOP_WORDS, TERM, clean_title
+from . import classifiers as lr
 from . import clustering as cl
 
 SEED = 42
@@ -139,35 +138,46 @@ def embedding_map(rows: DataFrame, id_col: str, step: int) -> DataFrame:
     return every_nth(flat, "id", step).select("id", at(0).alias("x"), at(1).alias("y"))
 
 
-def _classifier(train: DataFrame, c: float) -> LogisticRegression:
-    n = max(train.count(), 1)
-    return LogisticRegression(family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1.0 / (c * n), weightCol="weight", labelCol="y", maxIter=100)
+#: Pieces that a class is numbered in.
+PIECES = 1024
+
+
+def folded(rows: DataFrame, by: str, folds: int) -> DataFrame:
+    """`rows` (id, `by`, ...) with `fold`: the rows of each value of `by` dealt in turn, by hash of the id. No task numbers a whole class."""
+    order = [F.xxhash64("id", F.lit(SEED)), F.col("id")]
+    cut = rows.withColumn("_piece", F.pmod(order[0], F.lit(PIECES)).cast("int"))
+    before = Window.partitionBy(by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    begins = cut.groupBy(by, "_piece").count().select(by, "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy(by, "_piece").orderBy(*order)) - 1
+    return cut.withColumn("_no", within).join(F.broadcast(begins), [by, "_piece"]).withColumn("fold", ((F.col("_begin") + F.col("_no")) % folds).cast("int")).drop("_piece", "_begin", "_no")
 
 
 def rescue(rows: DataFrame, id_col: str, category: str, min_class: int = 20, threshold: float = 0.6, folds: int = 5, c: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(out-of-fold predictions (id, category, predicted), rescued rows (id, label, confidence), one row of metrics).
 
     Rows with `features`; those without a category ('', other, unknown, null) may be rescued, the rest train if their
-    class has `min_class` rows. Classes weigh alike. Folds are dealt class by class, by hash.
+    class has `min_class` rows. Classes weigh alike within what a model is trained on. The models of all folds and the
+    one of all rows are fitted in the same scans.
     """
     cat = F.coalesce(F.col(category), F.lit(""))
-    named = rows.select(F.col(id_col).alias("id"), cat.alias("category"), "features").withColumn("open", cat.isin("", "other", "unknown")).cache()
+    named = rows.select(F.col(id_col).alias("id"), cat.alias("category"), vector_to_array("features").alias("v")).withColumn("open", cat.isin("", "other", "unknown")).cache()
     sizes = named.where("not open").groupBy("category").agg(F.count("*").alias("k")).where(F.col("k") >= min_class)
     classes = sorted(r["category"] for r in sizes.select("category").collect())  # classes are few
     spark = rows.sparkSession
     if len(classes) < 2:
         none = named.where("false")
         return none.select("id", "category", F.lit("").alias("predicted")), none.select("id", F.lit("").alias("label"), F.lit(0.0).alias("confidence")), spark.createDataFrame([(0.0, 0.0, 0, 0, 0)], "macro_f1 double, accuracy double, n_train int, n_other int, n_rescued int")
-    index = spark.createDataFrame([(n, float(i)) for i, n in enumerate(classes)], "category string, y double")
-    train = named.where("not open").join(F.broadcast(index), "category").join(F.broadcast(sizes), "category")
-    total = F.lit(sizes.agg(F.sum("k")).head()[0])
-    train = train.withColumns({"weight": total / (F.lit(len(classes)) * F.col("k")), "fold": (F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("id", F.lit(SEED)), "id")) - 1) % folds}).cache()
-    label = lambda i: F.get(F.array(*map(F.lit, classes)), i.cast("int"))
-    parts = [_classifier(train.where(F.col("fold") != f), c).fit(train.where(F.col("fold") != f)).transform(train.where(F.col("fold") == f)) for f in range(folds)]
-    oof = reduce(DataFrame.unionByName, (p.select("id", "category", label(F.col("prediction")).alias("predicted")) for p in parts)).cache()
-    model = _classifier(train, c).fit(train)
-    other = model.transform(named.where("open")).withColumn("confidence", F.array_max(vector_to_array("probability")))
-    rescued = other.where(F.col("confidence") >= threshold).select("id", label(F.col("prediction")).alias("label"), "confidence")
+    index = spark.createDataFrame([(n, i) for i, n in enumerate(classes)], "category string, y int")
+    train = folded(named.where("not open").join(F.broadcast(index), "category"), "category", folds).cache()
+    counts = np.zeros((folds, len(classes)))
+    for r in train.groupBy("fold", "y").count().collect():  # folds x classes
+        counts[r["fold"], r["y"]] = r["count"]
+    masks = [np.arange(folds) != f for f in range(folds)] + [np.ones(folds, bool)]
+    models = lr.fit_masks(train, counts, masks, train.select(F.size("v").alias("w")).head()["w"], c)
+    label = lambda i: F.get(F.array(*map(F.lit, classes)), i)
+    oof = lr.predicted(train.select("id", "category", "v", F.col("fold").alias("use")), models).select("id", "category", label(F.col("best")).alias("predicted")).cache()
+    other = lr.predicted(named.where("open").select("id", "v", F.lit(folds).alias("use")), models)
+    rescued = other.where(F.col("confidence") >= threshold).select("id", label(F.col("best")).alias("label"), "confidence")
     per = class_metrics(oof)
     n_other = named.where("open").count()
     metrics = per.agg(F.avg("f1").alias("macro_f1")).crossJoin(oof.agg(F.avg((F.col("category") == F.col("predicted")).cast("double")).alias("accuracy"), F.count("*").cast("int").alias("n_train")))
