@@ -14,32 +14,66 @@ from . import classifiers as lr
 from . import clustering as cl
 
 SEED = 42
-#: TERM in whole Unicode text: its edges of words written out, a word character being a letter, a number or an underscore.
-WHOLE_TERM = r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z+#./-]{1,}(?:(?<=[a-zA-Z])(?![\p{L}\p{N}_])|(?<=[+#./-])(?=[\p{L}\p{N}_]))"
 
 
-def tokens(text: Column, pattern: str = TERM) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+def tokens(text: Column) -> Column:
+    """The matches of TERM in lower case, where letters and numbers of any script are word characters.
 
+    Tokens are ASCII, so other characters only matter as edges of words: letters and numbers become underscores, which
+    are word characters in no token, and the rest blanks. So the pattern needs to know ASCII alone.
+    """
+    edges = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F\p{L}\p{N}]", " "), r"[^\x00-\x7F]", "_")
+    return F.regexp_extract_all(edges, F.lit(TERM), F.lit(0))
 
-def ctfidf_scores(rows: DataFrame, group: str, text: str, vocabulary: int = 40_000, least_groups: int = 2, pattern: str = TERM) -> DataFrame:
-    """(cluster, term, score): class-based TF-IDF of words and word pairs, with group -1 left out.
 
-    Terms must occur in `least_groups` groups; the vocabulary is cut by corpus frequency (ties: by term); then terms
-    with a stop word go, and frequencies are shares of what is left. Pairs lie within one text.
+def crossing_pairs(ends: DataFrame) -> DataFrame:
+    """(cluster, term, n) of the pairs that straddle two texts: of rows (cluster, id, first, last), one for each text with tokens, in the order of ids.
+
+    Texts are dealt by ranges of (cluster, id). Within a range the text before is near; the first text of a cluster in a
+    range looks at the last one of the range before it, of which there is one row for each cluster and range.
     """
-    toks = rows.where(F.col(group).isNotNull() & (F.col(group).cast("string") != "-1")).select(F.col(group).alias("cluster"), tokens(F.col(text), pattern).alias("t"))
+    dealt = ends.repartitionByRange("cluster", "id").withColumn("part", F.spark_partition_id()).persist()
+    w = Window.partitionBy("cluster", "part").orderBy("id")
+    inner = dealt.withColumns({"before": F.lag("last").over(w), "at": F.row_number().over(w)})
+    tails = dealt.groupBy("cluster", "part").agg(F.max_by("last", "id").alias("last"))
+    edge = tails.withColumn("edge", F.lag("last").over(Window.partitionBy("cluster").orderBy("part"))).select("cluster", "part", "edge")
+    joined = inner.join(edge, ["cluster", "part"]).withColumn("before", F.when(F.col("at") == 1, F.col("edge")).otherwise(F.col("before"))).where("before IS NOT NULL")
+    return joined.groupBy("cluster", F.concat_ws(" ", "before", "first").alias("term")).agg(F.count("*").alias("n"))
+
+
+def term_counts(rows: DataFrame, group: str, text: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """((cluster, term, n) of words and pairs, one row with the number `c` of clusters): texts are split once, and read as one text a cluster in the order of the column `order`."""
+    kept = rows.where(F.col(group).isNotNull() & (F.col(group).cast("string") != "-1"))
+    toks = kept.select(F.col(group).alias("cluster"), F.col(order).alias("id"), tokens(F.col(text)).alias("t"))
     pairs = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("t", i), x))
-    tf = toks.select("cluster", F.explode(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    count = lambda x: F.struct(x.alias("term"), none.cast(dict(toks.dtypes)["id"]).alias("id"), none.cast("string").alias("first"), none.cast("string").alias("last"))
+    text_ends = F.struct(none.cast("string").alias("term"), F.col("id"), F.get("t", F.lit(0)).alias("first"), F.get("t", F.size("t") - 1).alias("last"))
+    listed = F.concat(F.transform(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>"))), count), F.array(text_ends))
+    counted = toks.select("cluster", F.explode(listed).alias("r")).groupBy("cluster", "r.term", "r.id", "r.first", "r.last").agg(F.count("*").alias("n")).persist()
+    ends = counted.where("term IS NULL AND first IS NOT NULL").select("cluster", "id", "first", "last")
+    tf = counted.where("term IS NOT NULL").select("cluster", "term", "n").unionByName(crossing_pairs(ends)).groupBy("cluster", "term").agg(F.sum("n").alias("n"))
+    return tf, counted.where("term IS NULL").agg(F.count_distinct("cluster").alias("c"))
+
+
+def ctfidf_scores(rows: DataFrame, group: str, text: str, order: str, vocabulary: int = 40_000, least_groups: int = 2) -> DataFrame:
+    """(cluster, term, score): class-based TF-IDF of words and word pairs, with group -1 left out.
+
+    The texts of a group are one text, in the order of the column `order`, so pairs straddle their ends. Terms must occur in
+    `least_groups` groups; the vocabulary is cut by corpus frequency (ties: by term); then terms with a stop word go, and
+    frequencies are shares of what is left.
+    """
+    tf, n_groups = term_counts(rows, group, text, order)
+    tf = tf.persist()
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least_groups)
     top = df.orderBy(F.desc("total"), "term").limit(vocabulary).select("term", "df")
-    n_groups = rows.select(F.col(group).alias("cluster")).where(F.col("cluster").isNotNull() & (F.col("cluster").cast("string") != "-1")).agg(F.count_distinct("cluster").alias("c"))
     kept = tf.join(top, "term").where(~F.arrays_overlap(F.split("term", " "), F.array(*map(F.lit, STOP_WORDS))))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))
     return kept.crossJoin(F.broadcast(n_groups)).select("cluster", "term", (share * F.ln(1 + F.col("c") / F.col("df"))).alias("score"))
 
 
-def ranked_terms(scores: DataFrame, n: int = 50) -> DataFrame:
+def ranked_terms(scores: DataFrame, n: int = 40_000) -> DataFrame:
+    """The first `n` terms of each cluster, with their rank; as many as a vocabulary has, unless fewer are asked for."""
     w = Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

@@ -173,7 +173,7 @@ class Run:
         n = rows.count()
         assigned, scores = sem.cluster(rows, "key", ks, starts)
         placed = assigned.select(F.col("id").alias("key"), "cluster").cache()
-        words = sem.keywords(sem.ctfidf_scores(self.texts().join(placed, "key"), "cluster", "text", pattern=sem.WHOLE_TERM)).cache()
+        words = sem.keywords(sem.ctfidf_scores(self.texts().join(placed, "key"), "cluster", "text", "key")).cache()
         sizes = placed.groupBy("cluster").agg(F.count("*").alias("size")).cache()
         titles = sem.title_counts(self.best.join(placed, "key"), "cluster", "title")
         names = self.spark.createDataFrame(sorted(sem.assign_names(sizes, titles, words).items()), "cluster int, name string").cache()

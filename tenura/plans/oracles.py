@@ -188,13 +188,15 @@ tr AS (SELECT skill, week, ord, coalesce(n, 0) AS n, coalesce(total, 0) AS total
     o["vacancy_text"] = "SELECT doc_id, concat_ws(' . ', source || ' ' || lang, source || ' ' || lang, source, nullif(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 2000), '')) AS body FROM documents"
     o["title_counts"] = f"SELECT p_brand AS cluster, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[\\(\\[].*?[\\)\\]]', ' ', 'g'), {text(TITLE_NOISE)}, ' ', 'g'), '[^a-z0-9+#/ -]+', ' ', 'g'), '\\s+', ' ', 'g'), ' -/') AS title, count(*) AS n FROM part GROUP BY ALL HAVING title <> ''"
     stops = ", ".join(map(text, sorted(STOP_WORDS)))
-    o["ctfidf_scores"] = f"""WITH tok AS (SELECT lang AS cluster, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g')), {text(TERM)}) AS t FROM documents),
-uni AS (SELECT cluster, unnest(t) AS term FROM tok), bi AS (SELECT cluster, t[i] || ' ' || t[i + 1] AS term FROM (SELECT cluster, t, unnest(range(1, len(t))) AS i FROM tok)),
+    # characters outside ASCII only matter as edges of words: letters and numbers as a word character, the rest as a blank
+    o["ctfidf_scores"] = f"""WITH tok AS (SELECT lang AS cluster, doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g'), {text(TERM)}) AS t FROM documents),
+one AS (SELECT cluster, doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i FROM tok), uni AS (SELECT cluster, term FROM one),
+bi AS (SELECT cluster, term FROM (SELECT cluster, term || ' ' || lead(term) OVER (PARTITION BY cluster ORDER BY doc_id, i) AS term FROM one) WHERE term IS NOT NULL),
 tf AS (SELECT cluster, term, count(*) AS n FROM (SELECT * FROM uni UNION ALL SELECT * FROM bi) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, sum(n) AS total FROM tf GROUP BY term HAVING count(*) >= 2 QUALIFY row_number() OVER (ORDER BY sum(n) DESC, term) <= 40000),
 kept AS (SELECT cluster, term, n, df FROM tf JOIN df USING (term) WHERE NOT list_has_any(string_split(term, ' '), [{stops}])),
 sc AS (SELECT cluster, term, n / CAST(sum(n) OVER (PARTITION BY cluster) AS DOUBLE) * ln(1 + (SELECT count(DISTINCT lang) FROM documents) / CAST(df AS DOUBLE)) AS score FROM kept)
-SELECT cluster, term, round(score, 9) AS score, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rk FROM sc) WHERE rk <= 50"""
+SELECT cluster, term, round(score, 9) AS score, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rk FROM sc)"""
     o["cluster_sizes"] = "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label"
     o["identity_meta"] = """WITH x AS (SELECT source AS key, doc_id AS seq, lang AS category, text AS description, 't' || CAST(doc_id % 7 AS VARCHAR) AS title FROM documents),
 m AS (SELECT key, category, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, category) AS rk FROM x WHERE category NOT IN ('', 'other') GROUP BY key, category)

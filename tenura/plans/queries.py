@@ -156,24 +156,20 @@ def vacancy_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", advert_text(F.concat_ws(" ", "source", "lang"), F.col("source"), F.col("text")).alias("body"))
 
 
-def plain_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with blanks for characters outside ASCII, where engines agree on the edges of words."""
-    return table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]+", " "))
-
-
 def ctfidf_scores(spark: SparkSession, d: str) -> DataFrame:
-    scores = sem.ranked_terms(sem.ctfidf_scores(plain_documents(spark, d), "lang", "text"))
+    """Every term of every language with its score and rank, from whole texts as they are."""
+    scores = sem.ranked_terms(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", "doc_id"))
     return rounded(scores, "score", places=9)
 
 
 def ctfidf_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return sem.keywords(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", pattern=sem.WHOLE_TERM), n=8)
+    return sem.keywords(sem.ctfidf_scores(table(spark, d, "documents"), "lang", "text", "doc_id"), n=8)
 
 
 def cluster_names(spark: SparkSession, d: str) -> DataFrame:
     titles = sem.title_counts(table(spark, d, "part"), "p_brand", "p_name")
     sizes = titles.groupBy("cluster").agg(F.sum("n").alias("size"))
-    words = sem.keywords(sem.ctfidf_scores(table(spark, d, "part"), "p_brand", "p_name"))
+    words = sem.keywords(sem.ctfidf_scores(table(spark, d, "part"), "p_brand", "p_name", "p_partkey"))
     return spark.createDataFrame(sorted(sem.assign_names(sizes, titles, words).items()), "cluster string, name string")
 
 
