@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The seeds of a whole fit, and what each moment counts.
 SEEDS = (1, 7, 42, 99, 2026)
 WEIGHTS = {"single_share": 2.0, "median_span": 1.0, "p90_span": 0.7}
 

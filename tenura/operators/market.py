@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_sql, wilson
+from ..functions.text import trimmed
 
 MONTH_FLOOR, MENTION_FLOOR, SKILL_FLOOR, PAIR_FLOOR, SERIES_FLOOR, EMPLOYER_FLOOR = 60, 300, 40, 8, 25, 4
+#: False discovery rate of the trend tests.
+LEVEL = 0.05
 
 
 def relevance(adverts: DataFrame, relevant: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept adverts, one row of counts, dropped employers with counts)."""
+    """(kept adverts, one row of counts, dropped employers with counts); those without a company count as `unknown`."""
     flagged = adverts.withColumn("relevant", relevant)
     counts = flagged.agg(F.count("*").alias("n_in"), F.count_if("relevant").alias("n_kept"), F.count_if(~F.col("relevant")).alias("n_dropped"), F.coalesce(F.avg((~F.col("relevant")).cast("double")), F.lit(0.0)).alias("dropped_share"))
-    dropped = flagged.where("not relevant").groupBy("company").agg(F.count("*").alias("n"))
+    named = trimmed(F.coalesce(F.nullif("company", F.lit("")), F.lit("unknown")))
+    dropped = flagged.where("not relevant").groupBy(named.alias("company")).agg(F.count("*").alias("n"))
     return flagged.where("relevant").drop("relevant"), counts, dropped
 
 
@@ -75,7 +79,7 @@ def trend_tests(shares: DataFrame) -> DataFrame:
     return s.select("skill", "first_share", "last_share", ((F.col("last_share") - F.col("first_share")) * 100).alias("change_pp"), "z", p.alias("p"), F.when(tested, F.col("slope") * 100).otherwise(0.0).alias("slope_pp"), "total_mentions")
 
 
-def multiplicity(tests: DataFrame, level: float = 0.05) -> DataFrame:
+def multiplicity(tests: DataFrame, level: float = LEVEL) -> DataFrame:
     """Adds significant, fdr_robust (Benjamini-Hochberg) and bonferroni_robust to rows with p; tests are few."""
     every = Window.partitionBy()
     ranked = tests.withColumns({"rn": F.row_number().over(Window.orderBy("p", "skill")), "m": F.count("*").over(every)})
@@ -88,6 +92,13 @@ def skill_index(adverts: DataFrame, basis: str = "adverts", month_floor: int | N
     return multiplicity(trend_tests(skill_shares(adverts, basis, month_floor, skill_floor)))
 
 
+def universe(adverts: DataFrame, index: DataFrame, basis: str) -> DataFrame:
+    """One row on what an index stands on: (basis, n_tests, level, universe, n_universe, n_all)."""
+    what = "skill mentions in described vacancies" if basis == "mentions" else "vacancies whose advert text was retrieved"
+    counts = adverts.agg(F.count_if("described").alias("n_universe"), F.count("*").alias("n_all"))
+    return index.agg(F.count("*").alias("n_tests")).select(F.lit(basis).alias("basis"), "n_tests", F.lit(LEVEL).alias("level"), F.lit(what).alias("universe")).crossJoin(counts)
+
+
 def rank_movement(index: DataFrame) -> DataFrame:
     """(skill, rank_first, rank_last, move, share_first, share_last, significant); ranks go by shares of four decimals."""
     first, last = F.round("first_share", 4), F.round("last_share", 4)

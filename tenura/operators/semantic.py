@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.text import STOP_WORDS, TERM, clean_title
+from ..sources.session import kept_table
 from . import classifiers as lr
 from . import clustering as cl
 
 SEED = 42
+#: Confidence from which on a row is rescued.
+THRESHOLD = 0.6
 
 
 def tokens(text: Column) -> Column:
@@ -50,7 +53,8 @@ def term_counts(rows: DataFrame, group: str, text: str, order: str) -> tuple[Dat
     count = lambda x: F.struct(x.alias("term"), none.cast(dict(toks.dtypes)["id"]).alias("id"), none.cast("string").alias("first"), none.cast("string").alias("last"))
     text_ends = F.struct(none.cast("string").alias("term"), F.col("id"), F.get("t", F.lit(0)).alias("first"), F.get("t", F.size("t") - 1).alias("last"))
     listed = F.concat(F.transform(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>"))), count), F.array(text_ends))
-    counted = toks.select("cluster", F.explode(listed).alias("r")).groupBy("cluster", "r.term", "r.id", "r.first", "r.last").agg(F.count("*").alias("n")).persist()
+    counted = toks.select("cluster", F.explode(listed).alias("r")).groupBy("cluster", "r.term", "r.id", "r.first", "r.last").agg(F.count("*").alias("n"))
+    counted = kept_table(counted, "terms")
     ends = counted.where("term IS NULL AND first IS NOT NULL").select("cluster", "id", "first", "last")
     tf = counted.where("term IS NOT NULL").select("cluster", "term", "n").unionByName(crossing_pairs(ends)).groupBy("cluster", "term").agg(F.sum("n").alias("n"))
     return tf, counted.where("term IS NULL").agg(F.count_distinct("cluster").alias("c"))
@@ -186,7 +190,7 @@ def folded(rows: DataFrame, by: str, folds: int) -> DataFrame:
     return cut.withColumn("_no", within).join(F.broadcast(begins), [by, "_piece"]).withColumn("fold", ((F.col("_begin") + F.col("_no")) % folds).cast("int")).drop("_piece", "_begin", "_no")
 
 
-def rescue(rows: DataFrame, id_col: str, category: str, min_class: int = 20, threshold: float = 0.6, folds: int = 5, c: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rescue(rows: DataFrame, id_col: str, category: str, min_class: int = 20, threshold: float = THRESHOLD, folds: int = 5, c: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(out-of-fold predictions (id, category, predicted), rescued rows (id, label, confidence), one row of metrics).
 
     Rows with `features`; those without a category ('', other, unknown, null) may be rescued, the rest train if their

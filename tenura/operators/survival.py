@@ -97,3 +97,10 @@ def by_cluster(spelled: DataFrame, assigned: DataFrame, least: int = 40, horizon
     summary = km_summary(km_curve(obs, ["cluster"]), ["cluster"], horizon).select("cluster", "median", "rmst")
     return n.join(summary, "cluster").join(logrank_vs_rest(obs, "cluster").select("cluster", "chi2", "p"), "cluster")
 
+
+
+def curves_by_cluster(spelled: DataFrame, assigned: DataFrame, least: int = 40) -> DataFrame:
+    """(cluster, t, at_risk, d, s) of clusters with `least` spells: the steps of each one's survival."""
+    obs = spelled.join(assigned.select("key", "cluster"), "key")
+    large = obs.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
+    return km_curve(obs.join(F.broadcast(large), "cluster"), ["cluster"]).select("cluster", "t", "at_risk", "d", "s")

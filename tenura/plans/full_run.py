@@ -25,11 +25,13 @@ from ..operators import trends as tr
 from ..operators import views as vw
 from ..sources.cache import encoded
 from ..sources.encoder import Encoder, hashed_words
-from ..sources.session import ship
+from ..sources.sections import write_section
+from ..sources.session import kept_table, ship
 from ..sources.sqlite import read_panel
 
 # Names that a provider table is asked for.
 PROVIDERS = ["OpenAI", "Anthropic", "Google AI", "Microsoft Copilot", "AWS Bedrock", "Meta Llama", "Mistral", "Other frontier"]
+# Grace periods that are compared.
 SENSITIVITY = (1, 7, 14, 21)
 #: Where a panel is looked for if none is named.
 PANELS = ("data/jobs.db", "panel.db", "../data/jobs.db")
@@ -120,7 +122,7 @@ class Run:
         survival = sv.km_curve(self.analysis.select("*", one), ["all"])
         return {
             "panel": pn.panel_meta(self.seen, self.every_grace.where(F.col("grace") == self.grace), self.runs).crossJoin(self.split[1]),
-            "detection": det.overall(self.curve).crossJoin(self.markov),
+            "detection": det.overall(self.curve).crossJoin(self.markov).withColumn("grace_chosen", F.lit(self.grace)),
             "detection_by_age": det.detection_binned(self.curve).orderBy("age_from"),
             "grace_table": det.grace_table(self.curve, self.markov).orderBy("grace_days"),
             "survival_overall": survival.drop("all").orderBy("t"),
@@ -130,6 +132,10 @@ class Run:
             "dropped_employers": mk.top_dropped(dropped),
             "skill_index_adverts": vw.by_share(self.index),
             "skill_index_mentions": vw.by_share(mentions),
+            **{f"months_{b}": mk.month_totals(kept, b).drop("ord").orderBy("month") for b in ("adverts", "mentions")},
+            **{f"skill_shares_{b}": mk.skill_shares(kept, b).drop("ord").orderBy("skill", "month") for b in ("adverts", "mentions")},
+            "universe_adverts": mk.universe(kept, self.index, "adverts"),
+            "universe_mentions": mk.universe(kept, mentions, "mentions"),
             "rank_movement": mk.rank_movement(mentions).orderBy("rank_last"),
             "cooccurrence": mk.cooccurrence(kept, mk.top_skills(mentions)),
             **{f"composition_{f}": vw.by_summed_share(mk.composition(kept, f)) for f in ("seniority", "remote", "sector")},
@@ -142,8 +148,12 @@ class Run:
             "longest": pn.longest(tr.spell_groups(self.analysis, self.group_names, "")).select(F.col("group").alias("cluster"), F.substring("title", 1, 80).alias("title"), F.substring("company", 1, 45).alias("company"), F.col("duration").alias("days"), "sightings", F.col("right_censored").alias("censored"), "urls"),
         }
 
+    @cached_property
+    def moments(self) -> DataFrame:
+        return sv.observed_moments(self.every_grace.where(F.col("grace") == self.grace), ["grace"]).cache()
+
     def calibration(self, n_sim: int | None = None) -> DataFrame:
-        moments = sv.observed_moments(self.every_grace.where(F.col("grace") == self.grace), ["grace"]).head()
+        moments = self.moments.head()
         if moments is None:
             return self.spark.createDataFrame([], cal.RESULT)
         n = self.runs.count()
@@ -172,7 +182,7 @@ class Run:
         rows = sem.as_vectors(vectors.join(self.identity, "key")).cache()
         n = rows.count()
         assigned, scores = sem.cluster(rows, "key", ks, starts)
-        placed = assigned.select(F.col("id").alias("key"), "cluster").cache()
+        placed = kept_table(assigned.select(F.col("id").alias("key"), "cluster"), "clusters")
         words = sem.keywords(sem.ctfidf_scores(self.texts().join(placed, "key"), "cluster", "text", "key")).cache()
         sizes = placed.groupBy("cluster").agg(F.count("*").alias("size")).cache()
         titles = sem.title_counts(self.best.join(placed, "key"), "cluster", "title")
@@ -182,10 +192,12 @@ class Run:
         points = sem.embedding_map(rows, "key", max(1, n // MAP_POINTS)).withColumnRenamed("id", "key")
         about = self.best.select("key", F.substring("title", 1, 70).alias("title"), F.substring("company", 1, 40).alias("company"), F.col("duration").alias("days"))
         return {
+            "clustering": sizes.agg(F.count("*").alias("k")).crossJoin(scores.agg(F.max("silhouette").alias("silhouette"))),
             "silhouette_by_k": scores.orderBy("k"),
+            "survival_curves_by_cluster": sv.curves_by_cluster(self.analysis, placed).orderBy("cluster", "t"),
             "clusters": sizes.join(names, "cluster").join(words, "cluster", "left").orderBy(F.desc("size"), "cluster"),
             "survival_by_cluster": vw.by_rmst(sv.by_cluster(self.analysis, placed).join(names, "cluster")),
-            "classifier": metrics.withColumn("rescue_rate", F.coalesce(F.try_divide(F.col("n_rescued").cast("double"), "n_other"), F.lit(0.0))),
+            "classifier": metrics.withColumn("rescue_rate", F.coalesce(F.try_divide(F.col("n_rescued").cast("double"), "n_other"), F.lit(0.0))).withColumn("threshold", F.lit(sem.THRESHOLD)),
             "per_class": sem.class_metrics(oof).orderBy("label"),
             "rescued_breakdown": rescued.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label"),
             "map": points.join(placed, "key").join(about, "key").orderBy("key").drop("key"),
@@ -224,7 +236,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--key", default="vacancy", choices=["vacancy", "url"])
     p.add_argument("--quick", action="store_true", help="one calibration seed, fewer lives")
     p.add_argument("--no-calibration", action="store_true")
-    p.add_argument("--cache", help="folder that keeps encoded texts, shared by all machines; without it no text is encoded, and groups are categories")
+    p.add_argument("--cache", default=".cache", help="folder that keeps encoded texts, shared by all machines")
+    p.add_argument("--no-texts", action="store_true", help="encode no texts: no clusters, rescue or map, and groups are categories")
+    p.add_argument("--sections", help="folder, shared by all machines, that gets each section as committed JSON lines, too")
     args = p.parse_args(argv)
     db = panel_path(args.db)
     if db is None:
@@ -232,11 +246,13 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.getOrCreate()
     run = Run(*read_panel(spark, db, args.format), args.grace, args.key, args.quick)
-    more = run.semantic(run.vectors(args.cache)) if args.cache else {}
+    more = {} if args.no_texts else run.semantic(run.vectors(args.cache))
     if not args.no_calibration:
         fits = run.calibration().cache()
-        more |= {"calibration": fits.orderBy("loss", "seed"), "calibration_spread": cal.seed_spread(fits).orderBy("what")}
+        more |= {"calibration": fits.orderBy("loss", "seed"), "calibration_spread": cal.seed_spread(fits).orderBy("what"), "calibration_observed": run.moments.drop("grace")}
     found = document(run, more)
+    for name, df in {**run.sections(), **more}.items() if args.sections else ():
+        write_section(df, args.sections, name)
     with open(args.out, "w", encoding="utf-8") as f:
         json.dump(found, f, indent=1, ensure_ascii=False)
     meta = (found["panel"] or [{}])[0]

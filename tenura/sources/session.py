@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -23,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: plans that read it don't repeat its own, and it outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application, wherever the driver was started."""
     app = spark.sparkContext.applicationId

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenura.operators import panel as pn
 from tenura.plans.full_run import main
 from tenura.sources.cache import encoded
+from tenura.sources.sections import read_section
 from tenura.sources.sqlite import read_sqlite
 from tenura.streaming.spells import closed_spells
 
@@ -40,8 +41,15 @@ def test_source_prunes_and_numbers(spark, db):
 
 def test_document(spark, db, tmp_path):
     out = tmp_path / "data.json"
-    assert main(["--db", db, "--out", str(out), "--grace", "3", "--no-calibration"]) == 0
+    parts = str(tmp_path / "parts")
+    assert main(["--db", db, "--out", str(out), "--grace", "3", "--no-calibration", "--cache", str(tmp_path / "vectors"), "--sections", parts]) == 0
     doc = json.loads(out.read_text())
+    # texts are encoded and clustered without being asked for; every section is committed, too
+    whole = {"clusters", "clustering", "silhouette_by_k", "survival_by_cluster", "survival_curves_by_cluster", "classifier", "per_class", "rescued_breakdown", "map"}
+    whole |= {f"{s}_{b}" for s in ("months", "universe", "skill_index", "skill_shares") for b in ("adverts", "mentions")}
+    assert whole <= set(doc) and all(len(read_section(parts, s)) == len(doc[s]) for s in whole | {"panel", "longest", "weekly"})
+    assert doc["classifier"][0]["threshold"] == 0.6 and doc["detection"][0]["grace_chosen"] == 3 and doc["clustering"][0]["k"] == len(doc["clusters"])
+    assert doc["universe_adverts"][0]["n_all"] == doc["relevance_filter"][0]["n_kept"] and sum(c["size"] for c in doc["clusters"]) == 12
     meta = doc["panel"][0]
     assert meta["n_runs"] == 20 and meta["n_identities"] == 12 and meta["placeholder_spells_dropped"] >= 1
     assert {r["grace"] for r in doc["grace_sensitivity"]} == {1, 3, 7, 14, 21}

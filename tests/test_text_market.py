@@ -102,3 +102,19 @@ def test_queries_against_sql(spark, name):
     assert sorted(df.columns) == sorted(columns)
     tidy = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert tidy(tuple(r) for r in df.select(*columns).collect()) == tidy(want.fetchall())
+
+
+def test_dropped_adverts_without_a_company_are_unknown(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, ""), (4, " "), (5, " x "), (6, "kept")], "advert int, company string")
+    kept, counts, dropped = mk.relevance(df, F.col("advert") == 6)
+    assert {r["company"]: r["n"] for r in mk.top_dropped(dropped).collect()} == {"unknown": 2, "x": 2, "": 1}
+    assert kept.count() == 1 and counts.head()["n_dropped"] == 5
+
+
+def test_months_out_of_the_index_and_its_universe_are_listed(spark):
+    rows = [(i, f"2026-{1 + i % 3:02d}", ["a", "b"] if i % 2 else ["a"], i % 10 != 0) for i in range(200)] + [(900, "2026-09", ["a"], True)]
+    df = spark.createDataFrame(rows, "advert int, month string, skills array<string>, described boolean")
+    months = {r["month"]: (r["total"], r["included"]) for r in mk.month_totals(df).collect()}
+    assert months == {f"2026-{m:02d}": (sum(i % 3 == m - 1 and i % 10 != 0 for i in range(200)), True) for m in (1, 2, 3)} | {"2026-09": (1, False)}
+    index = mk.skill_index(df)
+    assert mk.universe(df, index, "adverts").head().asDict() == {"basis": "adverts", "n_tests": 2, "level": 0.05, "universe": "vacancies whose advert text was retrieved", "n_universe": 181, "n_all": 201}
