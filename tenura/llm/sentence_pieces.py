@@ -8,8 +8,9 @@ All of this is numpy within one mapInArrow; there is no join and nothing is shuf
 
 The fold replays merges: the best-scored edge that spans two neighbouring segments joins them, the leftmost of equals,
 until none is left. That is what a piece table of kind BPE stands for; a Viterbi fold (the path with the largest sum of
-scores) gives other pieces than the library does for such a table, and the tables at hand are of that kind. The README
-has figures of the relational form, a join of exploded substrings with a higher-order aggregate, and of Viterbi.
+scores) gives other pieces than the library does for such a table. Models of kind unigram are folded by Viterbi, whole
+texts at a time; models that are neither, or that normalise texts, are refused. The README has figures of the relational
+form, a join of exploded substrings with a higher-order aggregate, and of Viterbi over a BPE table.
 """
 
 from __future__ import annotations
@@ -41,12 +42,64 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 TOP_BITS = 18
 
 
+def fields(message: bytes) -> dict[int, list]:
+    """The values of a protocol-buffer message by field number: whole numbers, bytes, and 4 or 8 raw bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            found: int | bytes = varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            found = message[at : at + size]
+            at += size
+        out.setdefault(key >> 3, []).append(found)
+    return out
+
+
+def kind_of(path: str) -> str:
+    """`unigram` or `bpe`, for models whose texts are only cut at white space; an error for all others, whose ids this module would get wrong."""
+    with open(path, "rb") as f:
+        model = fields(f.read())
+    # fixed values: field numbers and defaults of the model format
+    train, norm = (fields(b"".join(model.get(n, []))) for n in (2, 3))
+    last = lambda part, number, default: part.get(number, [default])[-1]
+    kind = {1: "unigram", 2: "bpe"}.get(last(train, 3, 1))
+    needs = {
+        "a model of kind unigram or BPE": kind is not None,
+        "byte fallback": last(train, 35, 0) == 1,
+        "no normalisation": not last(norm, 2, b""),
+        "a mark before each text": last(norm, 3, 1) == 1 and last(train, 24, 0) == 0,
+        "white space kept as it is": last(norm, 4, 1) == 0 and last(norm, 5, 1) == 1,
+        "no pieces of users": all(last(fields(p), 3, 1) != 4 for p in model.get(1, [])),
+    }
+    missing = [what for what, there in needs.items() if not there]
+    if missing:
+        raise ValueError(f"{path}: encoding needs {', '.join(missing)}")
+    return kind
+
+
 class Pieces:
     """The piece table of a model file: pieces with ids and scores; ids of byte pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        self.kind = kind_of(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
@@ -63,6 +116,9 @@ class Pieces:
         place = {s: k for k, s in enumerate(scores)}
         self.rank = {self.names[i]: place[model.get_score(i)] for i in plain}
         self.longest = max(map(len, self.ids), default=1)
+        self.score = np.array([model.get_score(i) for i in range(n)], np.float32)
+        #: What a character costs that is no piece, after the format: 10 below the least score.
+        self.lost = np.float32(min((model.get_score(i) for i in plain), default=0.0)) - np.float32(10)
         marks = any(MARK in p.lstrip(MARK) for p in self.ids)
         if marks:
             raise ValueError("pieces that hold white space after other characters are not handled")
@@ -191,7 +247,37 @@ class Pieces:
                 out[i] = packed(self.piece_ids(w, self.merge_long(w)))
         return out
 
+    def best_path(self, words: list[str]) -> list[int]:
+        """Ids of the path with the largest sum of scores through the lattice of a whole text.
+
+        Sums are single-precision and run on from word to word, as the library's do: far into a text they are coarser, so
+        a word's best path may depend on where it stands. Of equal paths the one with the longer last piece counts.
+        """
+        out: list[int] = []
+        base = np.float32(0)
+        for word in words:
+            _, edges = self.lattice([word])
+            n = len(word)
+            best, came = [None] * (n + 1), [0] * (n + 1)
+            best[0] = base
+            for i in range(n):
+                here = best[i]
+                for length in np.flatnonzero(edges[i] >= 0).tolist():
+                    to, sum_ = i + length + 1, here + self.score[edges[i, length]]
+                    if best[to] is None or sum_ > best[to]:
+                        best[to], came[to] = sum_, i
+                if edges[i, 0] < 0 and (best[i + 1] is None or here + self.lost > best[i + 1]):
+                    best[i + 1], came[i + 1] = here + self.lost, i
+            bounds = [n]
+            while bounds[-1]:
+                bounds.append(came[bounds[-1]])
+            out += self.piece_ids(word, bounds[::-1])
+            base = best[n]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.kind == "unigram":
+            return [np.array(self.best_path(self.words(x)), np.int32) for x in texts]
         split = [self.words(x) for x in texts]
         if len(self.known) > HELD:
             self.known.clear()
@@ -268,7 +354,8 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, n_bytes long) for every row: ids of the pieces, and how many of them are byte pieces.
 
-    `path` is a SentencePiece model of kind BPE without normalisation, read by each Python worker as an installed file.
+    `path` is a SentencePiece model of kind BPE or unigram, with byte fallback and without normalisation (others are an
+    error), read by each Python worker as an installed file.
     The ids are the library's, without begin or end. A null or empty text has no pieces; rows that repeat an id are
     encoded one by one; whole texts are encoded, however long; other columns are ignored, whatever their names; an
     empty table gives an empty result.
@@ -294,7 +381,11 @@ def ragged(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of rows with piece ids: the exact text that `encode` was given, for texts without the mark itself (which comes back as a blank). Null ids give an empty text."""
+    """(doc_id, text) of rows with piece ids: the exact text that `encode` was given, for texts without the mark itself (which comes back as a blank).
+
+    Null ids give an empty text, null entries of a row are an error; rows that repeat an id are decoded one by one, however
+    long; other columns play no role; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
@@ -305,7 +396,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digested(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, n_bytes, ids_sha256, text_sha256): of the ids, comma-joined, and of the text they decode to."""
+    """(doc_id, n_pieces, n_bytes, ids_sha256, text_sha256): of the ids, comma-joined, and of the text they decode to, for each row that `encode` gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
