@@ -25,7 +25,7 @@ from ..operators import trends as tr
 from ..operators import views as vw
 from ..sources.cache import encoded
 from ..sources.encoder import Encoder, hashed_words
-from ..sources.sections import write_section
+from ..sources.sections import read_section, write_section
 from ..sources.session import kept_table, ship
 from ..sources.sqlite import read_panel
 
@@ -210,12 +210,15 @@ def plain(v: object) -> object:
     return v.isoformat() if isinstance(v, date) else v
 
 
-def document(run: Run, more: dict[str, DataFrame] | None = None) -> dict:
-    """The sections, each of them small, as JSON values."""
+def document(run: Run, more: dict[str, DataFrame] | None = None, folder: str | None = None) -> dict:
+    """The sections, each of them small, as JSON values; with `folder` each is committed there first, and read from there."""
     begun = time.time()
     out: dict = {"generated_at": datetime.now(UTC).strftime("%Y-%m-%d %H:%M UTC")}
     for name, df in {**run.sections(), **(more or {})}.items():
-        out[name] = [{k: plain(v) for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
+        if folder:
+            write_section(df, folder, name)
+        rows = read_section(folder, name) if folder else [r.asDict(recursive=True) for r in df.collect()]
+        out[name] = [{k: plain(v) for k, v in r.items()} for r in rows]
     out["runtime_seconds"] = round(time.time() - begun, 1)
     return out
 
@@ -250,9 +253,7 @@ def main(argv: list[str] | None = None) -> int:
     if not args.no_calibration:
         fits = run.calibration().cache()
         more |= {"calibration": fits.orderBy("loss", "seed"), "calibration_spread": cal.seed_spread(fits).orderBy("what"), "calibration_observed": run.moments.drop("grace")}
-    found = document(run, more)
-    for name, df in {**run.sections(), **more}.items() if args.sections else ():
-        write_section(df, args.sections, name)
+    found = document(run, more, args.sections)
     with open(args.out, "w", encoding="utf-8") as f:
         json.dump(found, f, indent=1, ensure_ascii=False)
     meta = (found["panel"] or [{}])[0]
