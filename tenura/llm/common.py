@@ -92,24 +92,43 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Words of 64 bits of the filter below, a bound on what is broadcast (16 bytes each).
-FILTER_WORDS = 1 << 18
+#: Words of 64 bits of the filter below, and of one row of it: a bound on what is broadcast (2 MB in 256 rows).
+FILTER_WORDS, FILTER_BLOCK = 1 << 18, 1 << 10
+
+
+def filter_blocks(hashed: DataFrame) -> DataFrame:
+    """(block, masks): the words of a Bloom filter of the hashes `h`, FILTER_BLOCK to a row; blocks without a hash have no row."""
+    words = hashed.groupBy(filter_word(F.col("h")).alias("word")).agg(F.bit_or(filter_bit(F.col("h"))).alias("mask"))
+    slot = F.pmod("word", F.lit(FILTER_BLOCK)).cast("int").alias("slot")
+    held = words.groupBy(F.floor(F.col("word") / FILTER_BLOCK).alias("block")).agg(F.collect_list(F.struct(slot, "mask")).alias("held"))
+    bare = F.array_except(F.sequence(F.lit(0), F.lit(FILTER_BLOCK - 1)), F.col("held.slot"))
+    full = F.concat("held", F.transform(bare, lambda x: F.struct(x.alias("slot"), F.lit(0).cast("long").alias("mask"))))
+    return held.select("block", F.transform(F.array_sort(full), lambda x: x["mask"]).alias("masks"))
+
+
+def filter_word(h: Column) -> Column:
+    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS))
+
+
+def filter_bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def filtered(rows: DataFrame, keys: list[Column], wanted: DataFrame, flag: str) -> DataFrame:
     """`rows` with a boolean column `flag`: false where `keys` surely equal no row of `wanted` (whose columns they stand for).
 
-    A Bloom filter of one hash and FILTER_WORDS words, whatever the size of `wanted`, made and read by joins. As `wanted`
-    grows the filter says true more often, which costs the caller's join work and changes nothing in its result.
+    A Bloom filter of one hash and FILTER_WORDS words, whatever the size of `wanted`, made and read by joins. Its words
+    are broadcast in blocks, as the driver holds a broadcast several times over and a row for each word takes five times
+    their size. As `wanted` grows the filter says true more often, which costs the caller's join work and changes nothing
+    in its result.
     """
-    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    hashed = wanted.select(F.xxhash64(*wanted.columns).alias("h"))
-    at, mask, h = (fresh(rows, f"{flag}_{x}") for x in ("word", "mask", "hash"))
-    made = hashed.groupBy(word(F.col("h")).alias(at)).agg(F.bit_or(bit(F.col("h"))).alias(mask))
-    out = rows.withColumn(h, F.xxhash64(*keys)).withColumn(at, word(F.col(h))).join(F.broadcast(made), at, "left")
-    hit = F.coalesce(F.col(mask).bitwiseAND(bit(F.col(h))) != 0, F.lit(False))
-    return out.withColumn(flag, hit).drop(h, at, mask)
+    at, masks, h = (fresh(rows, f"{flag}_{x}") for x in ("block", "masks", "hash"))
+    made = filter_blocks(wanted.select(F.xxhash64(*wanted.columns).alias("h"))).withColumnsRenamed({"block": at, "masks": masks})
+    word = filter_word(F.col(h))
+    out = rows.withColumn(h, F.xxhash64(*keys)).withColumn(at, F.floor(word / FILTER_BLOCK)).join(F.broadcast(made), at, "left")
+    mask = F.get(F.col(masks), F.pmod(word, F.lit(FILTER_BLOCK)).cast("int"))
+    hit = F.coalesce(mask.bitwiseAND(filter_bit(F.col(h))) != 0, F.lit(False))
+    return out.withColumn(flag, hit).drop(h, at, masks)
 
 
 def looked_up(rows: DataFrame, found: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
@@ -144,6 +163,12 @@ def release() -> None:
         pass
 
 
+def relieve(spark: SparkSession) -> None:
+    """Collects the driver's garbage, in Python and the JVM, between the steps of long jobs: Spark drops the broadcasts and shuffle files of finished queries only when the driver collects."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` of about `most` characters (one text at least)."""
     begin, held = 0, 0

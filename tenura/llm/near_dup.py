@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, filtered, looked_up, map_arrow, mix64, scratch, table, words_of, written
+from .common import WordHashes, filtered, looked_up, map_arrow, mix64, relieve, scratch, table, words_of, written
 from .components import components
 
 ROWS, BANDS, BITS = 6, 40, 4
@@ -369,6 +369,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 def decided(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """As `near_duplicates`, read from tables that were written on the way."""
+    relieve(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     whole = written(signed(rows, size), "signed")
@@ -382,9 +383,10 @@ def decided(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     sifted = filtered(worded, [F.col("node")], copies, "likely")
     reps = sifted.where("not likely").union(sifted.where("likely").join(copies, "node", "left_anti").select(*sifted.columns))
     search = Search(reps.select("node", "doc_id", "text_hash", "signature", "bands"), classes.count(), rows, size, percent)
-    search.stars(FIRST_BANDS)
-    search.stars(BANDS)
-    search.rest()
+    for step in (lambda: search.stars(FIRST_BANDS), lambda: search.stars(BANDS), search.rest):
+        relieve(docs.sparkSession)
+        step()
+    relieve(docs.sparkSession)
 
     # only classes of several rows, or in a component, differ from what a row by itself tells
     grouped = classes.where("n > 1").withColumn("comp", F.col("node"))
